@@ -1,0 +1,12 @@
+import pytest
+
+from tallyhouse.session import local_session
+
+TESTDATA = "/root/testdata"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, "tallyhouse-tests")
+    yield session
+    session.stop()
