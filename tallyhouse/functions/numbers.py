@@ -19,15 +19,20 @@ _EXACT_INTEGERS = 2**53
 
 
 def number(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as DOUBLE; text that is no number and NaN become NULL."""
+    """Column ``name`` as DOUBLE; text that is no number becomes NULL.
+
+    A DOUBLE column is passed on bare. NaN may remain: the aggregates here, the
+    quantiles and ``dropna`` all count it as missing, and ``known`` makes it NULL.
+    """
     kind = dict(df.dtypes)[_resolve(df, name)]
     column = F.col(name)
     if kind == "string":
-        column = column.try_cast("double")
-    elif kind == "float":
-        column = column.cast("double")
-    elif kind != "double":
-        return column.cast("double")
+        return column.try_cast("double")
+    return column if kind == "double" else column.cast("double")
+
+
+def known(column: Column) -> Column:
+    """NaN as NULL."""
     return F.when(~F.isnan(column), column)
 
 
@@ -45,28 +50,21 @@ def exact_sum(column: Column, scale: int = 6) -> Column:
     to be exact at that scale (over 2**53 units) are added as doubles instead, so
     none is lost.
     """
-    total, _ = _sum_parts(column, scale)
-    return total
-
-
-def exact_mean(column: Column, scale: int = 6) -> Column:
-    """Aggregate: mean of a DOUBLE column, NULL for no values; built on ``exact_sum``."""
-    total, values = _sum_parts(column, scale)
-    return F.try_divide(total, values)
-
-
-def _sum_parts(column: Column, scale: int) -> tuple[Column, Column]:
-    known = F.when(~F.isnan(column), column)
-    fits = F.abs(known) < F.lit(_EXACT_INTEGERS / 10**scale)
-    units = F.when(fits, F.rint(known * F.lit(float(10**scale))).cast("bigint"))
+    size = F.abs(column)
+    limit = F.lit(_EXACT_INTEGERS / 10**scale)
+    units = F.when(size < limit, F.rint(column * float(10**scale)).cast("bigint"))
     high = F.sum(F.shiftright(units, _HALF_BITS))
     low = F.sum(units.bitwiseAND(F.lit(2**_HALF_BITS - 1)))
     exact = (
         high.cast("decimal(22,0)") * F.lit(Decimal(2**_HALF_BITS)) + low.cast("decimal(22,0)")
     ) * F.lit(Decimal(1).scaleb(-scale))
-    rest = F.sum(F.when(~fits, known))
-    total = F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
-    return total, F.count(known)
+    rest = F.sum(F.when((size >= limit) & ~F.isnan(column), column))
+    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+
+
+def exact_mean(column: Column, scale: int = 6) -> Column:
+    """Aggregate: mean of a DOUBLE column, NULL for no values; built on ``exact_sum``."""
+    return F.try_divide(exact_sum(column, scale), F.count_if(~F.isnan(column)))
 
 
 def percent_change(current: Column, previous: Column) -> Column:

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
+CELLS = 1024
 _STEPS_PER_E = 8
 
 
@@ -43,63 +43,66 @@ def quantiles(
     """
     if by is not None and not groups:
         raise ValueError("name the groups: they bound what is broadcast")
-    group = F.col(by) if by is not None else F.lit(0)
+    # Rows of other groups share the number 0. They are told apart only at the end: a
+    # filter here would make every scan evaluate ``by`` a second time.
+    names = F.array(*[F.lit(name) for name in groups])
+    group = F.lit(1) if by is None else F.array_position(names, F.col(by))
     values = df.select(group.alias("g"), value.alias("x")).filter(
         F.col("x").isNotNull() & ~F.isnan("x")
     )
-    if by is not None:
-        values = values.filter(F.col("g").isin(*groups))
-
     if accuracy is not None:
-        found = values.groupBy("g").agg(
-            F.count("x").alias("n"),
-            F.percentile_approx("x", list(probabilities), accuracy).alias("q"),
-        )
+        grouped = values.groupBy("g")
+        total, found = F.count("x"), F.percentile_approx("x", list(probabilities), accuracy)
     else:
-        found = _interpolate(_ranked_values(values, probabilities), len(probabilities))
-    return found.withColumnRenamed("g", by) if by is not None else found.drop("g")
+        grouped = _ranked_values(values, probabilities).groupBy("g")
+        total, found = F.max("total"), F.array(*_interpolated(len(probabilities)))
+    result = grouped.agg(F.when(F.col("g") > 0, total).alias("n"), found.alias("q"))
+    result = result.filter(F.col("n").isNotNull())
+    if by is None:
+        return result.drop("g")
+    return result.select(F.element_at(names, F.col("g").cast("int")).alias(by), "n", "q")
 
 
 def _ranked_values(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Rows ``(g, total, i, side, frac, x)``: both neighbours of every quantile."""
+    """Rows ``(g, total, i, side, frac, x)``: both neighbours of every quantile.
+
+    Each pass feeds the next one only its surviving cells, with the group's ``total``
+    and the rows ``before`` the cell, so the whole plan reads the column three times.
+    """
     x = F.col("x")
     coarse = values.withColumn(
         "c1", (F.signum(x) * F.floor(F.log1p(F.abs(x)) * _STEPS_PER_E)).cast("bigint")
     )
+    hit = F.exists(
+        _array(probabilities),
+        lambda p: _holds(F.floor(_position(p))) | _holds(F.ceil(_position(p))),
+    )
 
-    grid = _running(coarse.groupBy("g", "c1").agg(*_cell()), ["g"], "c1")
-    grid = grid.withColumn("total", F.sum("n").over(Window.partitionBy("g")))
-    first = (
-        grid.withColumn("t", F.explode(_targets(probabilities, F.col("total"))))
-        .select("g", "c1", "lo", "hi", "total", "before", "n", "t.*")
-        .filter(_holds_rank())
-        .withColumn("rank", F.col("rank") - F.col("before"))
-        .drop("before", "n")
+    grid = coarse.groupBy("g", "c1").agg(*_cell())
+    whole = Window.partitionBy("g").orderBy("c1").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
+    grid = grid.withColumn("total", F.sum("n").over(whole))
+    grid = _running(grid.withColumn("before", F.lit(0).cast("bigint")), ["g"], "c1")
+    cells = grid.filter(hit).select("g", "c1", "lo", "hi", "total", "before")
 
-    cells = first.select("g", "c1", "lo", "hi").distinct()
     step = F.when(
         F.col("hi") > F.col("lo"),
         F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
     ).otherwise(0)
     fine = coarse.join(F.broadcast(cells), ["g", "c1"]).withColumn("c2", step)
-    fine = _running(fine.groupBy("g", "c1", "c2").agg(*_cell()), ["g", "c1"], "c2")
-    second = (
-        fine.join(F.broadcast(first.drop("lo", "hi")), ["g", "c1"])
-        .filter(_holds_rank())
-        .withColumn("rank", F.col("rank") - F.col("before"))
-        .drop("before", "n")
-    )
-
-    cells = second.select("g", "c1", "c2", "lo", "hi").distinct()
-    last = coarse.join(F.broadcast(cells), ["g", "c1"]).filter(x.between(F.col("lo"), F.col("hi")))
-    last = _running(
-        last.groupBy("g", "c1", "c2", "x").agg(F.count("*").alias("n")), ["g", "c1", "c2"], "x"
-    )
+    fine = fine.groupBy("g", "c1", "c2", "total", "before").agg(*_cell())
+    fine = _running(fine, ["g", "c1"], "c2")
+    cells = fine.filter(hit).select("g", "c1", "c2", "lo", "hi", "total", "before")
+
+    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+    last = coarse.join(F.broadcast(cells), ["g", "c1"]).filter(inside)
+    last = last.groupBy("g", "c1", "c2", "total", "before", "x").agg(F.count("*").alias("n"))
+    last = _running(last, ["g", "c1", "c2"], "x")
     return (
-        last.join(F.broadcast(second.drop("lo", "hi")), ["g", "c1", "c2"])
-        .filter(_holds_rank())
-        .select("g", "total", "i", "side", "frac", "x")
+        last.withColumn("t", F.explode(_targets(probabilities)))
+        .filter(_holds(F.col("t.rank")))
+        .select("g", "total", "t.i", "t.side", "t.frac", "x")
     )
 
 
@@ -108,32 +111,41 @@ def _cell() -> list[Column]:
 
 
 def _running(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``before``: rows in the cells that sort earlier within ``keys``."""
+    """Adds to ``before`` the rows of the cells that sort earlier within ``keys``."""
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rows = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return counts.withColumn("before", F.col("before") + rows)
+
+
+def _array(probabilities: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probabilities])
+
+
+def _position(p: Column) -> Column:
+    """Place of a quantile among the ranks, counted from 0."""
+    return p * (F.col("total") - 1).cast("double")
+
+
+def _targets(probabilities: Sequence[float]) -> Column:
+    """The wanted ranks: two neighbours per quantile."""
 
+    def neighbours(p: Column, i: Column) -> Column:
+        position = _position(p)
+        frac = (position - F.floor(position)).alias("frac")
+        sides = [
+            F.struct(i.alias("i"), F.lit(side).alias("side"), rank.alias("rank"), frac)
+            for side, rank in enumerate((F.floor(position), F.ceil(position)))
+        ]
+        return F.array(*sides)
 
-def _targets(probabilities: Sequence[float], total: Column) -> Column:
-    wanted = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (total - 1).cast("double")
-        for side, rank in enumerate((F.floor(position), F.ceil(position))):
-            wanted.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    (position - F.floor(position)).alias("frac"),
-                )
-            )
-    return F.array(*wanted)
+    return F.flatten(F.transform(_array(probabilities), neighbours))
 
 
-def _holds_rank() -> Column:
-    return (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
 
 
-def _interpolate(ranked: DataFrame, count: int) -> DataFrame:
+def _interpolated(count: int) -> list[Column]:
     """Lower value plus the fraction of the gap; equal neighbours give that very value."""
     picks = []
     for i in range(count):
@@ -143,4 +155,4 @@ def _interpolate(ranked: DataFrame, count: int) -> DataFrame:
         )
         frac = F.max(F.when(F.col("i") == i, F.col("frac")))
         picks.append(low + F.when(high > low, (high - low) * frac).otherwise(0.0))
-    return ranked.groupBy("g").agg(F.max("total").alias("n"), F.array(*picks).alias("q"))
+    return picks

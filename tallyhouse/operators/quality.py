@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import number
 from tallyhouse.operators.frames import QUARANTINE, VALID, present_columns
 from tallyhouse.sources.tables import first_rows
 
@@ -82,6 +81,23 @@ class Rule:
 # --- catalogue ---------------------------------------------------------------------
 
 
+def sales_rules(leave_out: Sequence[str] = ()) -> list[Rule]:
+    """The standard sales rules."""
+    return [
+        Rule(
+            name,
+            level,
+            function,
+            arguments["column"],
+            tuple(str(v) for v in arguments["allowed"]) if "allowed" in arguments else None,
+            arguments.get("min_limit"),
+            arguments.get("max_limit"),
+        )
+        for name, level, function, arguments in SALES_RULES
+        if name not in leave_out
+    ]
+
+
 def sales_catalogue(spark: SparkSession, leave_out: Sequence[str] = ()) -> DataFrame:
     """The standard sales rules as a catalogue table."""
     rows = [
@@ -150,34 +166,38 @@ def read_rules(checks: DataFrame) -> list[Rule]:
 # --- evaluation --------------------------------------------------------------------
 
 
-def violated(rule: Rule, value: Column, numeric: bool) -> Column:
-    """TRUE where a row breaks the rule, else FALSE (never NULL)."""
+def violated(rule: Rule, value: Column, kind: str) -> Column:
+    """TRUE where a row breaks the rule, else FALSE or NULL. NaN counts as NULL."""
+    may_be_nan = kind in ("double", "float")
     if rule.function == "is_not_null":
-        broken = value.isNull()
+        broken = value.isNull() | F.isnan(value) if may_be_nan else value.isNull()
     elif rule.function == "is_in_range":
-        limits = [
-            value < rule.min_limit if rule.min_limit is not None else None,
-            value > rule.max_limit if rule.max_limit is not None else None,
-        ]
-        broken = reduce(Column.__or__, [x for x in limits if x is not None], F.lit(False))
+        if kind == "string":
+            value = value.try_cast("double")
+        limits = [F.lit(False)]
+        if rule.min_limit is not None:
+            limits.append(value < rule.min_limit)
+        if rule.max_limit is not None:
+            limits.append(value > rule.max_limit)
+        broken = reduce(Column.__or__, limits)
     elif rule.function == "is_in_list":
-        allowed = [float(v) for v in rule.allowed or ()] if numeric else list(rule.allowed or ())
-        broken = ~value.isin(*allowed)
+        allowed = list(rule.allowed or ())
+        broken = ~value.isin(*[float(v) for v in allowed] if kind in _NUMERIC else allowed)
     else:
         raise ValueError(f"rule {rule.name!r}: unknown function {rule.function!r}")
-    if rule.where is not None:
-        broken = F.expr(rule.where) & broken
-    return F.coalesce(broken, F.lit(False))
+    if may_be_nan and rule.function != "is_not_null":
+        broken = broken & ~F.isnan(value)
+    return F.expr(rule.where) & broken if rule.where is not None else broken
 
 
-def message(rule: Rule, numeric: bool) -> str:
+def message(rule: Rule, kind: str) -> str:
     """Text of an issue, in the wording users of the logs know."""
     if rule.function == "is_not_null":
         return f"{rule.column} vazio."
     if rule.function == "is_in_range":
         limits = ", ".join("" if v is None else f"{v:g}" for v in (rule.min_limit, rule.max_limit))
         return f"{rule.column} fora do intervalo [{limits}]."
-    if numeric:
+    if kind in _NUMERIC:
         return f"{rule.column} fora de {{{','.join(rule.allowed or ())}}}."
     return f"{rule.column} inválido."
 
@@ -191,16 +211,7 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     query that does not use the logs never builds them.
     """
     kinds = {name: kind.split("(")[0] for name, kind in df.dtypes}
-    numeric = {name: kind in _NUMERIC for name, kind in kinds.items()}
-
-    def value(rule: Rule) -> Column:
-        kind = kinds[rule.column]
-        as_number = kind in ("double", "float") or (
-            kind == "string" and rule.function == "is_in_range"
-        )
-        return number(df, rule.column) if as_number else F.col(rule.column)
-
-    broken = [violated(rule, value(rule), numeric[rule.column]) for rule in rules]
+    broken = [violated(rule, F.col(rule.column), kinds[rule.column]) for rule in rules]
     any_broken = reduce(Column.__or__, broken, F.lit(False))
 
     def log(level: str) -> Column:
@@ -210,7 +221,7 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 F.struct(
                     F.lit(rule.name).alias("name"),
                     F.lit(rule.column).alias("column"),
-                    F.lit(message(rule, numeric[rule.column])).alias("message"),
+                    F.lit(message(rule, kinds[rule.column])).alias("message"),
                 ),
             )
             for rule, condition in zip(rules, broken)

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import exact_mean, exact_sum, number, percent_of
+from tallyhouse.functions.numbers import exact_mean, exact_sum, known, number, percent_of
 from tallyhouse.operators.frames import (
     QUARANTINE,
     SALES_METRICS,
@@ -112,7 +112,7 @@ def daily_profile_rolling(profile: DataFrame, metric: str, rows: int = 7) -> Dat
 def rows_per_store(sales: DataFrame) -> DataFrame:
     """Rows per store; rows whose store is no number are left out."""
     return (
-        sales.select(number(sales, "store").alias("store"))
+        sales.select(known(number(sales, "store")).alias("store"))
         .filter(F.col("store").isNotNull())
         .groupBy("store")
         .agg(F.count("*").alias("n"))

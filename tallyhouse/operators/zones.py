@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import exact_mean, number
+from tallyhouse.functions.numbers import exact_mean, known, number
 from tallyhouse.functions.quantiles import quantiles
 from tallyhouse.operators.frames import SETS
 
@@ -28,13 +28,17 @@ def sales_label(
     from a scalar subquery, so the table itself is neither shuffled nor joined.
     """
     low, medium, high = LABELS
-    amount = number(df, value)
+    amount = known(number(df, value))
     cuts = quantiles(df, amount, LABEL_CUTS, accuracy=accuracy).select("q").scalar()
-    return df.withColumn(
-        column,
-        F.when(amount >= F.element_at(cuts, 2), high)
-        .when(amount >= F.element_at(cuts, 1), medium)
-        .otherwise(low),
+    label = (
+        F.when(F.col("_amount") >= F.col("_cuts")[1], high)
+        .when(F.col("_amount") >= F.col("_cuts")[0], medium)
+        .otherwise(low)
+    )
+    return (
+        df.withColumns({"_amount": amount, "_cuts": cuts})
+        .withColumn(column, label)
+        .drop("_amount", "_cuts")
     )
 
 
@@ -43,8 +47,8 @@ def metric_zones(
 ) -> DataFrame:
     """Rows ``(set, metric, value, zone)`` with each set's metric cut into three zones.
 
-    Rows missing either number are dropped, and a set with fewer than five left gives
-    none. The cuts are the terciles, or the 0.33 and 0.66 quantiles where two of the
+    Rows missing either number are dropped, and a set with fewer than five left gets no
+    zones (NULL). The cuts are the terciles, or the 0.33 and 0.66 quantiles where two of the
     tercile edges coincide; a value on a cut belongs to the lower zone.
     """
     rows = sales.select(
@@ -55,19 +59,27 @@ def metric_zones(
     ).filter(F.col("n") >= MIN_ZONE_ROWS)
     edge = [F.col("q")[i] for i in range(len(TERCILE_EDGES) + len(FALLBACK_CUTS))]
     apart = (edge[0] < edge[1]) & (edge[1] < edge[2]) & (edge[2] < edge[3])
-    cuts = found.select(
+    per_set = found.select(
         "set",
-        F.when(apart, edge[1]).otherwise(edge[4]).alias("cut1"),
-        F.when(apart, edge[2]).otherwise(edge[5]).alias("cut2"),
+        F.struct(
+            F.when(apart, edge[1]).otherwise(edge[4]).alias("low"),
+            F.when(apart, edge[2]).otherwise(edge[5]).alias("high"),
+        ).alias("cuts"),
     )
+    # At most one entry per name in SETS, read by every task as a constant.
+    cuts_by_set = per_set.agg(F.map_from_entries(F.collect_list(F.struct("set", "cuts")))).scalar()
+    cuts = F.col("cuts")
     low, middle, high = ZONES
     zone = (
-        F.when(F.col(metric) <= F.col("cut1"), low)
-        .when(F.col(metric) <= F.col("cut2"), middle)
-        .otherwise(high)
+        F.when(F.col(metric) <= cuts["low"], low)
+        .when(F.col(metric) <= cuts["high"], middle)
+        .when(cuts.isNotNull(), high)
+    )
+    return (
+        rows.withColumn("cuts", F.element_at(cuts_by_set, F.col("set")))
+        .withColumn("zone", zone)
+        .drop("cuts")
     )
-    # At most one row of cuts per name in SETS.
-    return rows.join(F.broadcast(cuts), "set").select("set", metric, value, zone.alias("zone"))
 
 
 def zone_means(zones: DataFrame, value: str = "weekly_sales") -> DataFrame:
@@ -80,17 +92,20 @@ def complete_grid(means: DataFrame) -> DataFrame:
 
     ``zone_rank`` and ``set_rank`` carry the display order.
     """
-    spark = means.sparkSession
-    cells = [(z, zi, s, si) for zi, z in enumerate(ZONES) for si, s in enumerate(SETS)]
-    grid = spark.createDataFrame(cells, "zone string, zone_rank int, set string, set_rank int")
-    # One row per cell, at most six.
-    per_cell = means.groupBy("zone", "set").agg(F.avg("avg_sales").alias("avg_sales"))
-    per_cell = per_cell.filter(F.col("zone").isin(*ZONES) & F.col("set").isin(*SETS))
-    return (
-        grid.join(F.broadcast(per_cell), ["zone", "set"], "left")
-        .select("zone", "zone_rank", "set", "set_rank", "avg_sales")
-        .orderBy("zone_rank", "set_rank")
-    )
+    cells = [
+        F.struct(
+            F.lit(zone).alias("zone"),
+            F.lit(zone_rank).alias("zone_rank"),
+            F.lit(name).alias("set"),
+            F.lit(set_rank).alias("set_rank"),
+            F.avg(
+                F.when((F.col("zone") == zone) & (F.col("set") == name), F.col("avg_sales"))
+            ).alias("avg_sales"),
+        )
+        for zone_rank, zone in enumerate(ZONES)
+        for set_rank, name in enumerate(SETS)
+    ]
+    return means.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def zone_effect(sales: DataFrame, metric: str, accuracy: int | None = None) -> DataFrame:

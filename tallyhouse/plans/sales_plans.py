@@ -82,7 +82,8 @@ SELECT "set", id, sales_label, CASE WHEN "set" = 'Quarantine' THEN temperature E
 FROM labelled"""))
 def stacked_sets(spark, sf_dir):
     """Both sets under one another; a column that only one of them has is NULL elsewhere."""
-    valid, quarantine = quality.split(views.sales(spark, sf_dir), views.rules(spark))
+    rules = quality.sales_rules(views.LEFT_OUT_RULES)
+    valid, quarantine = quality.split(views.sales(spark, sf_dir), rules)
     return stack_sets(
         valid.select("id", "sales_label"), quarantine.select("temperature", "sales_label", "id")
     )
@@ -399,7 +400,8 @@ def dq_split(spark, sf_dir):
 ) + " AS warnings FROM labelled WHERE \"set\" = 'Quarantine'"))
 def quarantine_logs(spark, sf_dir):
     """Issue logs of the quarantined rows, as JSON text."""
-    _, quarantine = quality.split(views.sales(spark, sf_dir), views.rules(spark))
+    checks = quality.sales_catalogue(spark, views.LEFT_OUT_RULES)
+    _, quarantine = quality.split(views.sales(spark, sf_dir), quality.read_rules(checks))
     return quarantine.select(
         "id", F.col("__errors").alias("errors"), F.col("__warnings").alias("warnings")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.operators.quality import Rule, label_sets, read_rules, sales_catalogue
+from tallyhouse.operators.quality import label_sets, sales_rules
 from tallyhouse.sources.tables import query
 
 TRIPS = """
@@ -162,13 +162,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SALES, "orders")
 
 
-def rules(spark: SparkSession) -> list[Rule]:
-    return read_rules(sales_catalogue(spark, LEFT_OUT_RULES))
-
-
 def labelled_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales with ``set``, ``__errors`` and ``__warnings``."""
-    return label_sets(sales(spark, sf_dir), rules(spark))
+    return label_sets(sales(spark, sf_dir), sales_rules(LEFT_OUT_RULES))
 
 
 def oracle(body: str, **views: str) -> str:
