@@ -64,7 +64,7 @@ def exact_sum(column: Column, scale: int = 6) -> Column:
 
 def exact_mean(column: Column, scale: int = 6) -> Column:
     """Aggregate: mean of a DOUBLE column, NULL for no values; built on ``exact_sum``."""
-    return F.try_divide(exact_sum(column, scale), F.count_if(~F.isnan(column)))
+    return F.try_divide(exact_sum(column, scale), F.count(known(column)))
 
 
 def percent_change(current: Column, previous: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 CELLS = 1024
 _STEPS_PER_E = 8
+_LARGEST_LOG = 800.0  # above the logarithm of any finite DOUBLE: infinity has its own cell
 
 
 def quantiles(
@@ -70,9 +71,8 @@ def _ranked_values(values: DataFrame, probabilities: Sequence[float]) -> DataFra
     and the rows ``before`` the cell, so the whole plan reads the column three times.
     """
     x = F.col("x")
-    coarse = values.withColumn(
-        "c1", (F.signum(x) * F.floor(F.log1p(F.abs(x)) * _STEPS_PER_E)).cast("bigint")
-    )
+    size = F.least(F.log1p(F.abs(x)), F.lit(_LARGEST_LOG))
+    coarse = values.withColumn("c1", (F.signum(x) * F.floor(size * _STEPS_PER_E)).cast("bigint"))
     hit = F.exists(
         _array(probabilities),
         lambda p: _holds(F.floor(_position(p))) | _holds(F.ceil(_position(p))),

@@ -20,10 +20,11 @@ QUERIES = {}
 ORACLES = {}
 
 
-def _query(oracle: str):
+def _query(oracle: str, name: str | None = None):
     def register(build):
-        QUERIES[build.__name__] = build
-        ORACLES[build.__name__] = oracle
+        key = name or build.__name__
+        QUERIES[key] = build
+        ORACLES[key] = oracle
         return build
 
     return register

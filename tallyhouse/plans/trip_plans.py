@@ -13,7 +13,6 @@ from tallyhouse.operators import rollup
 from tallyhouse.operators.frames import (
     DAILY_METRICS,
     chosen_metrics,
-    half_open,
     in_month,
     pair,
     present_columns,
@@ -31,10 +30,11 @@ QUERIES = {}
 ORACLES = {}
 
 
-def _query(oracle: str):
+def _query(oracle: str, name: str | None = None):
     def register(build):
-        QUERIES[build.__name__] = build
-        ORACLES[build.__name__] = oracle
+        key = name or build.__name__
+        QUERIES[key] = build
+        ORACLES[key] = oracle
         return build
 
     return register
@@ -119,13 +119,14 @@ def fare_by_distance(spark, sf_dir):
     return pair(taxi, "trip_distance", "fare_amount")
 
 
-@_query(views.oracle("SELECT fare_eur, trip_date FROM trips_v", trips_v=views.TRIPS))
+@_query(views.oracle("SELECT fare_eur, trip_date FROM trips_v", trips_v=views.TRIPS),
+    "present_columns")
 def present_columns_of_trips(spark, sf_dir):
     """The wanted columns that exist; one of the wanted ones does not."""
     return present_columns(views.trips(spark, sf_dir), ["fare_eur", "tip_eur", "trip_date"])
 
 
-@_query(_over_daily("SELECT day, revenue, km FROM daily"))
+@_query(_over_daily("SELECT day, revenue, km FROM daily"), "chosen_metrics")
 def chosen_metrics_of_year(spark, sf_dir):
     """Two chosen metrics of the daily table."""
     return chosen_metrics(_year(spark, sf_dir), ["revenue", "km"])

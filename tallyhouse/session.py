@@ -8,9 +8,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "tallyhouse") -> SparkSession:
+def local_session(
+    cores: int | str = 8, app: str = "tallyhouse", **settings: str
+) -> SparkSession:
     """A local session with the settings the library is developed against."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -18,8 +20,10 @@ def local_session(cores: int | str = 8, app: str = "tallyhouse") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -27,12 +31,13 @@ def local_session(cores: int | str = 8, app: str = "tallyhouse") -> SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only where none is named and the master is local is a scratch folder made; on a
+    Only where none is named and the master is local is a scratch folder used; on a
     cluster a machine-local folder would be lost with its machine, so that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tallyhouse-")
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), f"tallyhouse-{context.applicationId}")
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -1,0 +1,60 @@
+"""The daily rollup and the valid/quarantine split kept up to date by Structured Streaming.
+
+Both reuse the batch operators' expressions, so a streamed table and a recomputed one
+hold the same values.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyhouse.functions.numbers import exact_sum, number
+from tallyhouse.operators.quality import Rule, label_sets
+from tallyhouse.session import checkpoint_root
+
+
+def daily_updates(
+    trips: DataFrame,
+    late: str = "2 days",
+    date_column: str = "trip_date",
+    fare: str = "fare_eur",
+    km: str = "distance_km",
+) -> DataFrame:
+    """Daily table of a stream of trips.
+
+    State is three sums per open day. A day is final, and leaves the state, once the
+    newest trip is ``late`` past its end; trips that come later still are dropped.
+    """
+    time = F.col(date_column).cast("timestamp")
+    return (
+        trips.withColumn(date_column, time)
+        .withWatermark(date_column, late)
+        .groupBy(F.window(date_column, "1 day").alias("w"))
+        .agg(
+            F.count("*").alias("trips"),
+            exact_sum(number(trips, fare)).alias("revenue"),
+            exact_sum(number(trips, km)).alias("km"),
+        )
+        .select(F.col("w.start").cast("date").alias("day"), "trips", "revenue", "km")
+    )
+
+
+def start_split(sales: DataFrame, rules: Sequence[Rule], path: str, name: str) -> StreamingQuery:
+    """Writes a stream of sales, labelled by the rules, as Parquet partitioned by ``set``.
+
+    Takes what is there and stops. Run again under the same ``name`` it goes on where it
+    ended, also after a failure, because its progress lies in the shared checkpoint folder.
+    """
+    return (
+        label_sets(sales, rules)
+        .writeStream.format("parquet")
+        .partitionBy("set")
+        .option("path", path)
+        .option("checkpointLocation", f"{checkpoint_root(sales.sparkSession)}/{name}")
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -6,7 +6,18 @@ TESTDATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tallyhouse-tests")
+def spark(tmp_path_factory):
+    checkpoints = tmp_path_factory.mktemp("checkpoints")
+    session = local_session(8, "tallyhouse-tests", spark__checkpoint__dir=str(checkpoints))
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def rows(spark):
+    """Table from hand-written rows: ``rows("a int, b string", (1, "x"), ...)``."""
+
+    def make(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+
+    return make

@@ -1,0 +1,80 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse.functions.quantiles import quantiles
+
+PROBS = (0.0, 1 / 3, 0.33, 0.5, 0.66, 2 / 3, 0.999, 1.0)
+
+
+def _shapes():
+    rng = random.Random(7)
+    return {
+        "one": [4.25],
+        "two": [1.0, 2.0],
+        "constant": [3.3] * 50,
+        "hot third": [41.5] * 400 + [rng.uniform(0, 100) for _ in range(800)],
+        "cents": [round(rng.uniform(0, 5e5), 2) for _ in range(3000)],
+        "signs": [rng.gauss(0, 3) for _ in range(2000)],
+        "tiny": [rng.uniform(-1e-9, 1e-9) for _ in range(500)],
+        "outlier": [1e300, -1e300] + [rng.random() for _ in range(500)],
+        "scales": [10.0 ** rng.uniform(-300, 300) for _ in range(2000)],
+        "dense": [1000.0 + i * 1e-7 for i in range(5000)],
+        "few": [float(rng.randint(0, 2)) for _ in range(999)],
+    }
+
+
+def test_every_shape_equals_brute_force(spark):
+    shapes = _shapes()
+    data = [(name, v) for name, values in shapes.items() for v in values]
+    data += [("hot third", None), ("two", float("nan")), ("not asked for", 1.0), (None, 2.0)]
+    random.Random(3).shuffle(data)
+    frame = spark.createDataFrame(data, "g string, x double").repartition(8)
+    found = {
+        r.g: r for r in quantiles(frame, F.col("x"), PROBS, "g", [*shapes, "no rows"]).collect()
+    }
+    assert set(found) == set(shapes)
+    for name, values in shapes.items():
+        assert found[name].n == len(values)
+        expected = np.quantile(np.array(values), PROBS)
+        np.testing.assert_allclose(found[name].q, expected, rtol=1e-14, atol=1e-300, err_msg=name)
+
+
+def test_values_on_a_rank_are_returned_unchanged(spark):
+    values = [0.1 * i for i in range(101)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    found = quantiles(frame, F.col("x"), [0.25, 0.5]).head()
+    assert found.q == [values[25], values[50]] and found.n == 101
+
+
+def test_no_values_give_no_row(rows):
+    empty = rows("x double", (None,), (float("nan"),))
+    assert quantiles(empty, F.col("x"), [0.5]).collect() == []
+
+
+def test_infinite_values_keep_their_place(rows):
+    values = [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]
+    frame = rows("x double", *[(v,) for v in values])
+    assert quantiles(frame, F.col("x"), [0.0, 0.25, 0.5, 0.75, 1.0]).head().q == values
+
+
+def test_groups_must_be_named(rows):
+    with pytest.raises(ValueError):
+        quantiles(rows("g string, x double"), F.col("x"), [0.5], "g")
+
+
+def test_accuracy_gives_elements_near_the_quantile(spark):
+    frame = spark.range(10001).select(F.col("id").cast("double").alias("x"))
+    found = quantiles(frame, F.col("x"), [0.33, 0.66], accuracy=10000).head()
+    assert abs(found.q[0] - 3300) <= 2 and abs(found.q[1] - 6600) <= 2
+
+
+def test_the_column_is_scanned_three_times_and_never_gathered(spark, tmp_path):
+    path = str(tmp_path / "x")
+    spark.range(1000).select(F.rand(1).alias("x"), F.rand(2).alias("y")).write.parquet(path)
+    found = quantiles(spark.read.parquet(path), F.col("x"), [0.33, 0.66])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3
+    assert "percentile" not in plan and "collect_" not in plan and "ReadSchema: struct<x:double>" in plan

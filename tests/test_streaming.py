@@ -1,0 +1,67 @@
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from tallyhouse.operators.quality import label_sets, sales_rules
+from tallyhouse.operators.rollup import daily_rollup
+from tallyhouse.plans import views
+from tallyhouse.streaming.live import daily_updates, start_split
+
+from tests.conftest import TESTDATA
+
+SF = f"{TESTDATA}/sf0.001"
+
+
+def _stream(spark, frame, folder, files=4):
+    frame.repartition(files).write.parquet(str(folder))
+    return (
+        spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    )
+
+
+def test_streamed_days_equal_the_batch_rollup(spark, tmp_path):
+    trips = views.trips(spark, SF)
+    stream = _stream(spark, trips, tmp_path / "in")
+    query = (
+        daily_updates(stream, late="10000 days")
+        .writeStream.outputMode("complete")
+        .format("memory")
+        .queryName("days")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(120)
+    batch = daily_rollup(trips, date(1990, 1, 1), date(2010, 1, 1))
+    assert sorted(spark.table("days").collect()) == sorted(batch.collect())
+
+
+def test_days_are_emitted_once_they_are_final(spark, tmp_path):
+    rows = [(f"2020-01-0{d} 10:00:00", 10.0, 1.0) for d in range(1, 9)]
+    frame = spark.createDataFrame(rows, "t string, fare_eur double, distance_km double").select(
+        F.col("t").cast("timestamp_ntz").alias("trip_date"), "fare_eur", "distance_km"
+    )
+    query = (
+        daily_updates(_stream(spark, frame, tmp_path / "in", 1), late="2 days")
+        .writeStream.outputMode("append")
+        .format("memory")
+        .queryName("final_days")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(120)
+    days = [r.day for r in spark.table("final_days").orderBy("day").collect()]
+    assert days == [date(2020, 1, d) for d in range(1, 6)]
+
+
+def test_split_resumes_and_equals_the_batch_labels(spark, tmp_path):
+    rules = sales_rules(views.LEFT_OUT_RULES)
+    sales = views.sales(spark, SF)
+    stream = _stream(spark, sales, tmp_path / "in", 2)
+    for _ in range(2):  # the second run finds nothing new
+        start_split(stream, rules, str(tmp_path / "out"), "split").awaitTermination(120)
+    columns = ["id", "set", "__errors", "__warnings"]
+    written = spark.read.parquet(str(tmp_path / "out")).select(*columns)
+    labelled = label_sets(sales, rules).select(*columns)
+    assert sorted(written.collect(), key=str) == sorted(labelled.collect(), key=str)
