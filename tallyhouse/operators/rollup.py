@@ -17,7 +17,7 @@ NO_ROUTE_FARE = 99.0  # fixed value: shown where a route has no trips
 _SMALL_DAYS = 100_000
 
 
-def daily_rollup(
+def daily_totals(
     trips: DataFrame,
     start: date,
     end: date,
@@ -25,10 +25,11 @@ def daily_rollup(
     fare: str = "fare_eur",
     km: str = "distance_km",
 ) -> DataFrame:
-    """Trips, revenue and distance per day of ``[start, end)``, in day order.
+    """Trips, revenue and distance per day of ``[start, end)``, in no order.
 
     One scan with map-side sums: the shuffle carries one row per day and task, also
-    when one day holds a third of the trips. Days without trips are absent.
+    when one day holds a third of the trips. Days without trips are absent. This is
+    the table to summarise, rank or smooth further; none of that needs it sorted.
     """
     return (
         half_open(trips, date_column, start, end)
@@ -38,10 +39,14 @@ def daily_rollup(
             exact_sum(number(trips, fare)).alias("revenue"),
             exact_sum(number(trips, km)).alias("km"),
         )
-        .orderBy("day")
     )
 
 
+def daily_rollup(trips: DataFrame, start: date, end: date, **columns: str) -> DataFrame:
+    """``daily_totals`` in day order, for display."""
+    return daily_totals(trips, start, end, **columns).orderBy("day")
+
+
 def fill_days(daily: DataFrame, start: date, end: date) -> DataFrame:
     """Daily table with a zero row for every day of ``[start, end)`` that has none."""
     days = calendar_spine(daily.sparkSession, start, end)

@@ -64,11 +64,11 @@ def _over_daily(body: str, where: str = _YEAR_RANGE) -> str:
 
 
 def _year(spark, sf_dir) -> DataFrame:
-    return rollup.daily_rollup(views.trips(spark, sf_dir), *year_bounds(YEAR))
+    return rollup.daily_totals(views.trips(spark, sf_dir), *year_bounds(YEAR))
 
 
 def _month(spark, sf_dir) -> DataFrame:
-    return rollup.daily_rollup(
+    return rollup.daily_totals(
         views.trips(spark, sf_dir), *month_bounds(MONTH.year, MONTH.month)
     )
 
@@ -138,7 +138,7 @@ def chosen_metrics_of_year(spark, sf_dir):
 @_query(_over_daily("SELECT * FROM daily"))
 def daily_rollup(spark, sf_dir):
     """Trips, revenue and distance per day of a year."""
-    return _year(spark, sf_dir)
+    return rollup.daily_rollup(views.trips(spark, sf_dir), *year_bounds(YEAR))
 
 
 @_query(_over_daily(f"""
@@ -169,7 +169,7 @@ def month_kpi_ratio(spark, sf_dir):
     """Month KPI over all trips, from the daily table."""
     gaps = views.view(spark, sf_dir, views.TRIPS_WITH_GAPS, "lineitem")
     return rollup.month_kpi_ratio(
-        rollup.daily_rollup(gaps, *month_bounds(MONTH.year, MONTH.month))
+        rollup.daily_totals(gaps, *month_bounds(MONTH.year, MONTH.month))
     )
 
 
@@ -187,10 +187,10 @@ def year_summary(spark, sf_dir):
     return rollup.period_summary(_year(spark, sf_dir))
 
 
-@_query(_over_daily(_SUMMARY + " WHERE month(day) = 3"))
+@_query(_over_daily(_SUMMARY, _MONTH_RANGE))
 def month_summary(spark, sf_dir):
-    """Totals and daily means of one month, out of the year's daily table."""
-    return rollup.period_summary(in_month(_year(spark, sf_dir), MONTH.month))
+    """Totals and daily means of one month."""
+    return rollup.period_summary(_month(spark, sf_dir))
 
 
 def _route_sql(pickup: int, dropoff: int) -> str:
