@@ -10,7 +10,7 @@ SQL predicate holds.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -257,28 +257,47 @@ def rule_hits(df: DataFrame, log: str = "__errors") -> DataFrame:
     that are no such JSON are skipped. In a log with an item that is no object, the
     items before it count, as if it were read from left to right.
     """
+    # The outer form: a plain explode makes Spark filter for non-empty arrays first,
+    # and that filter would parse every log a second time below the projection.
     return (
-        df.select(F.explode(rule_names(F.col(log))).alias("rule"))
+        with_rule_names(df.select(log), {log: "names"})
+        .select(F.explode_outer("names").alias("rule"))
+        .filter(F.col("rule").isNotNull())
         .groupBy("rule")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "rule")
     )
 
 
-def rule_names(log: Column) -> Column:
-    """Array of the rule names in a JSON issue log; NULL where the log is no such JSON."""
-    items = F.from_json(log, "items array<struct<name:string>>")["items"]
-    whole = F.transform(items, lambda item: F.coalesce(item["name"], F.lit(UNKNOWN_RULE)))
-    # Only for logs the typed parse refuses: walk the raw items up to the first bad one.
-    raw = F.from_json(log, "items array<string>")["items"]
-    good = F.transform(raw, lambda item: F.coalesce(item.startswith("{"), F.lit(False)))
-    stop = F.array_position(good, F.lit(False))
-    kept = F.when(stop > 0, F.slice(raw, F.lit(1), (stop - 1).cast("int"))).otherwise(raw)
-    salvaged = F.transform(
-        kept, lambda item: F.coalesce(F.get_json_object(item, "$.name"), F.lit(UNKNOWN_RULE))
-    )
-    has_gap = F.exists(items, lambda item: item.isNull())
-    return F.when(items.isNotNull() & ~has_gap, whole).otherwise(salvaged)
+def with_rule_names(df: DataFrame, logs: Mapping[str, str]) -> DataFrame:
+    """Adds for each log column an array of the rule names in it; NULL for other text.
+
+    Each log is parsed once. Only one that the typed parse refuses, or that has a NULL
+    item, is parsed again to walk its raw items up to the first bad one.
+    """
+    parts = []
+    for log, names in logs.items():
+        items, raw, good = f"_{names}_items", f"_{names}_raw", f"_{names}_good"
+        parts += [items, raw, good]
+        typed = F.from_json(log, "items array<struct<name:string>>")["items"]["name"]
+        df = df.withColumn(items, typed)
+        text = F.from_json(log, "items array<string>")["items"]
+        df = df.withColumn(raw, F.when(_doubtful(F.col(items)) & F.col(log).isNotNull(), text))
+        objects = F.transform(raw, lambda item: F.coalesce(item.startswith("{"), F.lit(False)))
+        df = df.withColumn(good, F.array_position(objects, F.lit(False)))
+        before_bad = F.when(F.col(good) == 0, F.col(raw)).otherwise(
+            F.slice(raw, F.lit(1), (F.col(good) - 1).cast("int"))
+        )
+        walked = F.transform(before_bad, lambda item: F.get_json_object(item, "$.name"))
+        chosen = F.when(_doubtful(F.col(items)), walked).otherwise(F.col(items))
+        known = F.transform(chosen, lambda name: F.coalesce(name, F.lit(UNKNOWN_RULE)))
+        df = df.withColumn(names, known)
+    return df.drop(*parts)
+
+
+def _doubtful(names: Column) -> Column:
+    """Whether a typed parse gave nothing, or a name that may be that of a NULL item."""
+    return names.isNull() | F.exists(names, lambda name: name.isNull())
 
 
 def quarantine_examples(quarantine: DataFrame, n: int = EXAMPLE_ROWS) -> DataFrame:

@@ -51,12 +51,10 @@ def metric_zones(
     zones (NULL). The cuts are the terciles, or the 0.33 and 0.66 quantiles where two of the
     tercile edges coincide; a value on a cut belongs to the lower zone.
     """
-    rows = sales.select(
-        "set", number(sales, metric).alias(metric), number(sales, value).alias(value)
-    ).dropna()
-    found = quantiles(
-        rows, F.col(metric), TERCILE_EDGES + FALLBACK_CUTS, "set", SETS, accuracy
-    ).filter(F.col("n") >= MIN_ZONE_ROWS)
+    amount = number(sales, value)
+    x = F.when(known(amount).isNotNull(), number(sales, metric))
+    found = quantiles(sales, x, TERCILE_EDGES + FALLBACK_CUTS, "set", SETS, accuracy)
+    found = found.filter(F.col("n") >= MIN_ZONE_ROWS)
     edge = [F.col("q")[i] for i in range(len(TERCILE_EDGES) + len(FALLBACK_CUTS))]
     apart = (edge[0] < edge[1]) & (edge[1] < edge[2]) & (edge[2] < edge[3])
     per_set = found.select(
@@ -75,6 +73,7 @@ def metric_zones(
         .when(F.col(metric) <= cuts["high"], middle)
         .when(cuts.isNotNull(), high)
     )
+    rows = sales.select("set", number(sales, metric).alias(metric), amount.alias(value)).dropna()
     return (
         rows.withColumn("cuts", F.element_at(cuts_by_set, F.col("set")))
         .withColumn("zone", zone)

@@ -377,13 +377,11 @@ FROM labelled"""))
 def dq_split(spark, sf_dir):
     """Every row's set and the names of the rules it breaks."""
     labelled = views.labelled_sales(spark, sf_dir)
-    return labelled.select(
+    named = quality.with_rule_names(labelled, {"__errors": "errors", "__warnings": "warnings"})
+    return named.select(
         "id",
         "set",
-        *[
-            F.array_join(F.array_sort(quality.rule_names(F.col(f"__{log}"))), ",").alias(log)
-            for log in ("errors", "warnings")
-        ],
+        *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("errors", "warnings")],
     )
 
 
