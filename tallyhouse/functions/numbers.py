@@ -9,8 +9,6 @@ runs at the speed of a double sum and gives the same result in any order.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +16,31 @@ _HALF_BITS = 20
 _EXACT_INTEGERS = 2**53
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as DOUBLE; text that is no number becomes NULL.
+def identifier(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number_sql(df: DataFrame, name: str) -> str:
+    """Column ``name`` as DOUBLE, in SQL text; text that is no number becomes NULL.
 
     A DOUBLE column is passed on bare. NaN may remain: the aggregates here, the
     quantiles and ``dropna`` all count it as missing, and ``known`` makes it NULL.
     """
     kind = dict(df.dtypes)[_resolve(df, name)]
-    column = F.col(name)
-    if kind == "string":
-        return column.try_cast("double")
-    return column if kind == "double" else column.cast("double")
+    if kind == "double":
+        return identifier(name)
+    return f"{'try_cast' if kind == 'string' else 'cast'}({identifier(name)} AS DOUBLE)"
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """``number_sql`` as a column."""
+    return F.expr(number_sql(df, name))
 
 
 def known(column: Column) -> Column:
@@ -43,28 +55,35 @@ def _resolve(df: DataFrame, name: str) -> str:
     raise KeyError(f"no column {name!r} among {df.columns}")
 
 
-def exact_sum(column: Column, scale: int = 6) -> Column:
-    """Aggregate: sum of a DOUBLE column, 0 for no rows, NULL and NaN skipped.
+def exact_sum(value: str, scale: int = 6) -> Column:
+    """Aggregate: sum of a DOUBLE expression (SQL text), 0 for no rows, NULL and NaN skipped.
 
     Values are rounded to ``scale`` decimals and added as integers. Values too large
     to be exact at that scale (over 2**53 units) are added as doubles instead, so
     none is lost.
     """
-    size = F.abs(column)
-    limit = F.lit(_EXACT_INTEGERS / 10**scale)
-    units = F.when(size < limit, F.rint(column * float(10**scale)).cast("bigint"))
-    high = F.sum(F.shiftright(units, _HALF_BITS))
-    low = F.sum(units.bitwiseAND(F.lit(2**_HALF_BITS - 1)))
-    exact = (
-        high.cast("decimal(22,0)") * F.lit(Decimal(2**_HALF_BITS)) + low.cast("decimal(22,0)")
-    ) * F.lit(Decimal(1).scaleb(-scale))
-    rest = F.sum(F.when((size >= limit) & ~F.isnan(column), column))
-    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
-
-
-def exact_mean(column: Column, scale: int = 6) -> Column:
-    """Aggregate: mean of a DOUBLE column, NULL for no values; built on ``exact_sum``."""
-    return F.try_divide(exact_sum(column, scale), F.count(known(column)))
+    return F.expr(_sum_sql(value, scale))
+
+
+def exact_mean(value: str, scale: int = 6) -> Column:
+    """Aggregate: mean of a DOUBLE expression (SQL text), NULL for no values."""
+    counted = f"count(CASE WHEN NOT isnan({value}) THEN {value} END)"
+    return F.expr(f"try_divide({_sum_sql(value, scale)}, {counted})")
+
+
+def _sum_sql(value: str, scale: int) -> str:
+    value = f"({value})"
+    limit = f"{_EXACT_INTEGERS / 10**scale!r}D"
+    unit = f"{10**-scale:.{scale}f}BD"
+    units = (
+        f"CASE WHEN abs({value}) < {limit}"
+        f" THEN CAST(rint({value} * {float(10**scale)!r}D) AS BIGINT) END"
+    )
+    high = f"CAST(sum(shiftright({units}, {_HALF_BITS})) AS DECIMAL(22,0))"
+    low = f"CAST(sum({units} & {2**_HALF_BITS - 1}) AS DECIMAL(22,0))"
+    exact = f"CAST(({high} * {2**_HALF_BITS}BD + {low}) * {unit} AS DOUBLE)"
+    rest = f"sum(CASE WHEN abs({value}) >= {limit} AND NOT isnan({value}) THEN {value} END)"
+    return f"(coalesce({exact}, 0D) + coalesce({rest}, 0D))"
 
 
 def percent_change(current: Column, previous: Column) -> Column:

@@ -12,11 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.numbers import identifier, literal
 from tallyhouse.operators.frames import QUARANTINE, VALID, present_columns
 from tallyhouse.sources.tables import first_rows
 
@@ -166,28 +166,27 @@ def read_rules(checks: DataFrame) -> list[Rule]:
 # --- evaluation --------------------------------------------------------------------
 
 
-def violated(rule: Rule, value: Column, kind: str) -> Column:
-    """TRUE where a row breaks the rule, else FALSE or NULL. NaN counts as NULL."""
+def violated(rule: Rule, kind: str) -> str:
+    """SQL predicate: TRUE where a row breaks the rule, else FALSE or NULL. NaN is missing."""
+    value = identifier(rule.column)
     may_be_nan = kind in ("double", "float")
     if rule.function == "is_not_null":
-        broken = value.isNull() | F.isnan(value) if may_be_nan else value.isNull()
+        broken = f"{value} IS NULL" + (f" OR isnan({value})" if may_be_nan else "")
     elif rule.function == "is_in_range":
-        if kind == "string":
-            value = value.try_cast("double")
-        limits = [F.lit(False)]
-        if rule.min_limit is not None:
-            limits.append(value < rule.min_limit)
-        if rule.max_limit is not None:
-            limits.append(value > rule.max_limit)
-        broken = reduce(Column.__or__, limits)
+        number = f"try_cast({value} AS DOUBLE)" if kind == "string" else value
+        limits = [("<", rule.min_limit), (">", rule.max_limit)]
+        outside = [f"{number} {sign} {limit!r}D" for sign, limit in limits if limit is not None]
+        broken = " OR ".join(outside) or "FALSE"
     elif rule.function == "is_in_list":
-        allowed = list(rule.allowed or ())
-        broken = ~value.isin(*[float(v) for v in allowed] if kind in _NUMERIC else allowed)
+        allowed = ", ".join(
+            f"{float(v)!r}D" if kind in _NUMERIC else literal(v) for v in rule.allowed or ()
+        )
+        broken = f"{value} NOT IN ({allowed})" if allowed else f"{value} IS NOT NULL"
     else:
         raise ValueError(f"rule {rule.name!r}: unknown function {rule.function!r}")
     if may_be_nan and rule.function != "is_not_null":
-        broken = broken & ~F.isnan(value)
-    return F.expr(rule.where) & broken if rule.where is not None else broken
+        broken = f"({broken}) AND NOT isnan({value})"
+    return f"(({rule.where}) AND ({broken}))" if rule.where is not None else f"({broken})"
 
 
 def message(rule: Rule, kind: str) -> str:
@@ -211,31 +210,24 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     query that does not use the logs never builds them.
     """
     kinds = {name: kind.split("(")[0] for name, kind in df.dtypes}
-    broken = [violated(rule, F.col(rule.column), kinds[rule.column]) for rule in rules]
-    any_broken = reduce(Column.__or__, broken, F.lit(False))
+    broken = [violated(rule, kinds[rule.column]) for rule in rules]
+    any_broken = " OR ".join(broken) or "FALSE"
 
     def log(level: str) -> Column:
-        issues = [
-            F.when(
-                condition,
-                F.struct(
-                    F.lit(rule.name).alias("name"),
-                    F.lit(rule.column).alias("column"),
-                    F.lit(message(rule, kinds[rule.column])).alias("message"),
-                ),
-            )
+        issues = ", ".join(
+            f"CASE WHEN {condition} THEN named_struct('name', {literal(rule.name)}, 'column', "
+            f"{literal(rule.column)}, 'message', {literal(message(rule, kinds[rule.column]))}) END"
             for rule, condition in zip(rules, broken)
             if rule.criticality == level
-        ]
-        items = F.array_compact(F.array(*issues)) if issues else F.from_json(F.lit("[]"), _ITEMS)
-        return F.when(any_broken, F.to_json(F.struct(items.alias("items"))))
+        )
+        items = f"array_compact(array({issues}))" if issues else f"from_json('[]', '{_ITEMS}')"
+        return F.expr(
+            f"CASE WHEN {any_broken} THEN to_json(named_struct('items', {items})) END"
+        )
 
+    label = f"CASE WHEN {any_broken} THEN {literal(QUARANTINE)} ELSE {literal(VALID)} END"
     return df.withColumns(
-        {
-            "set": F.when(any_broken, F.lit(QUARANTINE)).otherwise(F.lit(VALID)),
-            "__errors": log(ERROR),
-            "__warnings": log(WARN),
-        }
+        {"set": F.expr(label), "__errors": log(ERROR), "__warnings": log(WARN)}
     )
 
 

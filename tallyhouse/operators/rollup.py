@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import calendar_spine, month_start, shift_month
-from tallyhouse.functions.numbers import exact_mean, exact_sum, number, percent_change
+from tallyhouse.functions.numbers import exact_mean, exact_sum, identifier, number_sql, percent_change
 from tallyhouse.operators.frames import DAILY_METRICS, drop_missing, half_open
 
 ROLLING_ROWS = 7
@@ -36,8 +36,8 @@ def daily_totals(
         .groupBy(F.col(date_column).cast("date").alias("day"))
         .agg(
             F.count("*").alias("trips"),
-            exact_sum(number(trips, fare)).alias("revenue"),
-            exact_sum(number(trips, km)).alias("km"),
+            exact_sum(number_sql(trips, fare)).alias("revenue"),
+            exact_sum(number_sql(trips, km)).alias("km"),
         )
     )
 
@@ -73,8 +73,8 @@ def month_kpi_per_trip(
     """Trip count and means over the trips that have a value; NULL means for no trips."""
     return half_open(trips, date_column, start, end).agg(
         F.count("*").alias("trips"),
-        exact_mean(number(trips, fare)).alias("avg_fare"),
-        exact_mean(number(trips, km)).alias("avg_km"),
+        exact_mean(number_sql(trips, fare)).alias("avg_fare"),
+        exact_mean(number_sql(trips, km)).alias("avg_km"),
     )
 
 
@@ -86,7 +86,7 @@ def month_kpi_ratio(daily: DataFrame) -> DataFrame:
     trips = F.coalesce(F.sum("trips"), F.lit(0).cast("bigint"))
 
     def ratio(metric: str) -> Column:
-        return F.coalesce(F.try_divide(exact_sum(F.col(metric)), trips), F.lit(0.0))
+        return F.coalesce(F.try_divide(exact_sum(metric), trips), F.lit(0.0))
 
     return daily.agg(
         trips.alias("trips"), ratio("revenue").alias("avg_fare"), ratio("km").alias("avg_km")
@@ -96,15 +96,14 @@ def month_kpi_ratio(daily: DataFrame) -> DataFrame:
 def period_summary(daily: DataFrame) -> DataFrame:
     """Days, totals and means of the daily values; all zero for an empty table."""
     zero = F.lit(0.0)
-    trips = F.col("trips").cast("double")
     return daily.agg(
         F.count("*").alias("days"),
         F.coalesce(F.sum("trips"), F.lit(0).cast("bigint")).alias("trips_total"),
-        exact_sum(F.col("revenue")).alias("revenue_total"),
-        exact_sum(F.col("km")).alias("km_total"),
-        F.coalesce(exact_mean(trips), zero).alias("trips_avg"),
-        F.coalesce(exact_mean(F.col("revenue")), zero).alias("revenue_avg"),
-        F.coalesce(exact_mean(F.col("km")), zero).alias("km_avg"),
+        exact_sum("revenue").alias("revenue_total"),
+        exact_sum("km").alias("km_total"),
+        F.coalesce(exact_mean("CAST(trips AS DOUBLE)"), zero).alias("trips_avg"),
+        F.coalesce(exact_mean("revenue"), zero).alias("revenue_avg"),
+        F.coalesce(exact_mean("km"), zero).alias("km_avg"),
     )
 
 
@@ -120,7 +119,7 @@ def route_mean_fare(
     return route.agg(
         F.count("*").alias("trips"),
         F.when(F.count("*") == 0, F.lit(default))
-        .otherwise(exact_mean(number(trips, fare)))
+        .otherwise(exact_mean(number_sql(trips, fare)))
         .alias("mean_fare"),
     )
 
@@ -166,16 +165,15 @@ def month_compare(
     earlier total is 0.
     """
     current, previous, end = (shift_month(month, k) for k in (0, -1, 1))
-    is_current = F.col(date_column) >= F.lit(current)
-    values = {"revenue": number(trips, fare), "km": number(trips, km)}
-
+    is_current = f"{identifier(date_column)} >= DATE'{current}'"
     totals = [
-        F.count_if(is_current).alias("trips"),
-        F.count_if(~is_current).alias("trips_prev"),
+        F.expr(f"count_if({is_current})").alias("trips"),
+        F.expr(f"count_if(NOT {is_current})").alias("trips_prev"),
     ]
-    for name, value in values.items():
-        totals.append(exact_sum(F.when(is_current, value)).alias(name))
-        totals.append(exact_sum(F.when(~is_current, value)).alias(f"{name}_prev"))
+    for name, value in {"revenue": number_sql(trips, fare), "km": number_sql(trips, km)}.items():
+        now = f"CASE WHEN {is_current} THEN {value} END"
+        before = f"CASE WHEN NOT {is_current} THEN {value} END"
+        totals += [exact_sum(now).alias(name), exact_sum(before).alias(f"{name}_prev")]
     result = half_open(trips, date_column, previous, end).agg(*totals)
     return result.select(F.lit(current).alias("month"), *_with_change(DAILY_METRICS))
 
@@ -196,8 +194,8 @@ def month_compare_all(
         .groupBy(month_start(F.col(date_column)).alias("month"))
         .agg(
             F.count("*").alias("trips"),
-            exact_sum(number(trips, fare)).alias("revenue"),
-            exact_sum(number(trips, km)).alias("km"),
+            exact_sum(number_sql(trips, fare)).alias("revenue"),
+            exact_sum(number_sql(trips, km)).alias("km"),
         )
     )
     by_month = Window.orderBy("month")

@@ -11,7 +11,15 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import exact_mean, exact_sum, known, number, percent_of
+from tallyhouse.functions.numbers import (
+    exact_mean,
+    exact_sum,
+    known,
+    literal,
+    number,
+    number_sql,
+    percent_of,
+)
 from tallyhouse.operators.frames import (
     QUARANTINE,
     SALES_METRICS,
@@ -58,10 +66,10 @@ def _share_columns() -> list[Column]:
 
 
 def _sales_columns(sales: DataFrame) -> list[Column]:
-    amount = number(sales, "weekly_sales")
+    amount = number_sql(sales, "weekly_sales")
     return [
-        exact_sum(F.when(F.col("set") == VALID, amount)).alias("valid_sales"),
-        exact_sum(F.when(F.col("set") == QUARANTINE, amount)).alias("quarantine_sales"),
+        exact_sum(f"CASE WHEN `set` = {literal(name)} THEN {amount} END").alias(column)
+        for name, column in ((VALID, "valid_sales"), (QUARANTINE, "quarantine_sales"))
     ]
 
 
@@ -70,7 +78,7 @@ def sales_trend(sales: DataFrame) -> DataFrame:
     return (
         sales.filter(F.col("sale_date").isNotNull())
         .groupBy("sale_date", "set")
-        .agg(exact_sum(number(sales, "weekly_sales")).alias("weekly_sales"))
+        .agg(exact_sum(number_sql(sales, "weekly_sales")).alias("weekly_sales"))
         .orderBy("sale_date", "set")
     )
 
@@ -80,7 +88,7 @@ def holiday_effect(sales: DataFrame) -> DataFrame:
     return (
         in_domain(sales, "holiday_flag", [0, 1])
         .groupBy("set", mapped(F.col("holiday_flag"), HOLIDAY_NAMES).alias("holiday"))
-        .agg(exact_mean(number(sales, "weekly_sales")).alias("avg_sales"))
+        .agg(exact_mean(number_sql(sales, "weekly_sales")).alias("avg_sales"))
         .select("holiday", "avg_sales", "set")
     )
 
@@ -93,8 +101,8 @@ def daily_profile(sales: DataFrame, metric: str) -> DataFrame:
         sales.filter(F.col("sale_date").isNotNull())
         .groupBy("sale_date", "set")
         .agg(
-            exact_mean(number(sales, metric)).alias(metric),
-            exact_mean(number(sales, "weekly_sales")).alias("weekly_sales"),
+            exact_mean(number_sql(sales, metric)).alias(metric),
+            exact_mean(number_sql(sales, "weekly_sales")).alias("weekly_sales"),
         )
     )
 
@@ -130,7 +138,7 @@ def top_stores(valid: DataFrame, n: int = TOP_STORES) -> DataFrame:
     return (
         valid.filter(F.col("store").isNotNull())
         .groupBy("store")
-        .agg(exact_sum(number(valid, "weekly_sales")).alias("weekly_sales"))
+        .agg(exact_sum(number_sql(valid, "weekly_sales")).alias("weekly_sales"))
         .orderBy(F.desc("weekly_sales"), "store")
         .limit(n)
     )

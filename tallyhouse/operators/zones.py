@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import exact_mean, known, number
+from tallyhouse.functions.numbers import exact_mean, identifier, known, number
 from tallyhouse.functions.quantiles import quantiles
 from tallyhouse.operators.frames import SETS
 
@@ -83,7 +83,7 @@ def metric_zones(
 
 def zone_means(zones: DataFrame, value: str = "weekly_sales") -> DataFrame:
     """Mean sales per zone and set."""
-    return zones.groupBy("set", "zone").agg(exact_mean(F.col(value)).alias("avg_sales"))
+    return zones.groupBy("set", "zone").agg(exact_mean(identifier(value)).alias("avg_sales"))
 
 
 def complete_grid(means: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyhouse.functions.numbers import exact_sum, number
+from tallyhouse.functions.numbers import exact_sum, number_sql
 from tallyhouse.operators.quality import Rule, label_sets
 from tallyhouse.session import checkpoint_root
 
@@ -36,8 +36,8 @@ def daily_updates(
         .groupBy(F.window(date_column, "1 day").alias("w"))
         .agg(
             F.count("*").alias("trips"),
-            exact_sum(number(trips, fare)).alias("revenue"),
-            exact_sum(number(trips, km)).alias("km"),
+            exact_sum(number_sql(trips, fare)).alias("revenue"),
+            exact_sum(number_sql(trips, km)).alias("km"),
         )
         .select(F.col("w.start").cast("date").alias("day"), "trips", "revenue", "km")
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.numbers import (
     exact_mean,
     exact_sum,
+    identifier,
+    literal,
     number,
     percent_change,
     percent_of,
@@ -14,7 +16,7 @@ from tallyhouse.functions.numbers import (
 
 
 def _sum(frame, column="x"):
-    return frame.agg(exact_sum(F.col(column)).alias("s")).head().s
+    return frame.agg(exact_sum(column).alias("s")).head().s
 
 
 def test_sum_is_the_correctly_rounded_decimal_sum_in_any_order(spark):
@@ -41,8 +43,8 @@ def test_values_too_large_to_be_exact_still_count(rows):
 
 def test_mean_counts_only_known_values(rows):
     frame = rows("x double", (1.0,), (None,), (float("nan"),), (2.0,))
-    assert frame.agg(exact_mean(F.col("x")).alias("m")).head().m == 1.5
-    assert rows("x double", (None,)).agg(exact_mean(F.col("x")).alias("m")).head().m is None
+    assert frame.agg(exact_mean("x").alias("m")).head().m == 1.5
+    assert rows("x double", (None,)).agg(exact_mean("x").alias("m")).head().m is None
 
 
 def test_number_reads_text_and_drops_what_is_none(rows):
@@ -58,3 +60,16 @@ def test_percentages(rows):
     ).collect()
     assert [r.c for r in out] == [50.0, None, None, -100.0]
     assert [r.p for r in out] == [150.0, 0.0, 0.0, 0.0]
+
+
+def test_scale_bounds_the_rounding(rows):
+    frame = rows("x double", *[(0.4,)] * 10)
+    assert frame.agg(exact_sum("x", scale=0).alias("s")).head().s == 0.0
+    assert frame.agg(exact_sum("x", scale=1).alias("s")).head().s == 4.0
+    assert frame.agg(exact_sum("x + x", scale=2).alias("s")).head().s == 8.0
+
+
+def test_names_and_texts_are_quoted(rows):
+    frame = rows("`a ``b` double, s string", (2.5, "it's \\ fine"))
+    assert frame.agg(exact_sum(identifier("a `b")).alias("x")).head().x == 2.5
+    assert frame.filter(F.expr(f"s = {literal(chr(105) + 't' + chr(39) + 's ' + chr(92) + ' fine')}")).count() == 1
