@@ -34,13 +34,16 @@ def quantiles(
     by: str | None = None,
     groups: Sequence[str] = (),
     accuracy: int | None = None,
+    refinements: int = 1,
 ) -> DataFrame:
     """One row per group: ``by``, ``n`` (values counted) and ``q`` (array of quantiles).
 
     ``value`` is a DOUBLE expression; NULL and NaN are skipped. With ``by``, the closed
     list ``groups`` names the groups to return; it bounds what is broadcast. A group
     without values has no row. ``accuracy`` switches to ``percentile_approx``: one pass,
-    but elements of the column rather than interpolated values.
+    but elements of the column rather than interpolated values. ``refinements`` is how
+    often step 2 is done; the last step sorts the distinct values of one cell in one task
+    (spilling if it must), so do it twice where billions of distinct values lie close together.
     """
     if by is not None and not groups:
         raise ValueError("name the groups: they bound what is broadcast")
@@ -55,7 +58,7 @@ def quantiles(
         grouped = values.groupBy("g")
         total, found = F.count("x"), F.percentile_approx("x", list(probabilities), accuracy)
     else:
-        grouped = _ranked_values(values, probabilities).groupBy("g")
+        grouped = _ranked_values(values, probabilities, refinements).groupBy("g")
         total, found = F.max("total"), F.array(*_interpolated(len(probabilities)))
     result = grouped.agg(F.when(F.col("g") > 0, total).alias("n"), found.alias("q"))
     result = result.filter(F.col("n").isNotNull())
@@ -64,41 +67,42 @@ def quantiles(
     return result.select(F.element_at(names, F.col("g").cast("int")).alias(by), "n", "q")
 
 
-def _ranked_values(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+def _ranked_values(
+    values: DataFrame, probabilities: Sequence[float], refinements: int
+) -> DataFrame:
     """Rows ``(g, total, i, side, frac, x)``: both neighbours of every quantile.
 
     Each pass feeds the next one only its surviving cells, with the group's ``total``
-    and the rows ``before`` the cell, so the whole plan reads the column three times.
+    and the rows ``before`` the cell, so the whole plan is one chain of scans.
     """
     x = F.col("x")
     size = F.least(F.log1p(F.abs(x)), F.lit(_LARGEST_LOG))
-    coarse = values.withColumn("c1", (F.signum(x) * F.floor(size * _STEPS_PER_E)).cast("bigint"))
+    coarse = values.withColumn("c", (F.signum(x) * F.floor(size * _STEPS_PER_E)).cast("bigint"))
     hit = F.exists(
         _array(probabilities),
         lambda p: _holds(F.floor(_position(p))) | _holds(F.ceil(_position(p))),
     )
 
-    grid = coarse.groupBy("g", "c1").agg(*_cell())
-    whole = Window.partitionBy("g").orderBy("c1").rowsBetween(
+    grid = coarse.groupBy("g", "c").agg(*_cell())
+    whole = Window.partitionBy("g").orderBy("c").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     grid = grid.withColumn("total", F.sum("n").over(whole))
-    grid = _running(grid.withColumn("before", F.lit(0).cast("bigint")), ["g"], "c1")
-    cells = grid.filter(hit).select("g", "c1", "lo", "hi", "total", "before")
+    grid = _running(grid.withColumn("before", F.lit(0).cast("bigint")), ["g"], "c")
+    cells = grid.filter(hit).select("g", "c", "lo", "hi", "total", "before")
 
     step = F.when(
         F.col("hi") > F.col("lo"),
         F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
     ).otherwise(0)
-    fine = coarse.join(F.broadcast(cells), ["g", "c1"]).withColumn("c2", step)
-    fine = fine.groupBy("g", "c1", "c2", "total", "before").agg(*_cell())
-    fine = _running(fine, ["g", "c1"], "c2")
-    cells = fine.filter(hit).select("g", "c1", "c2", "lo", "hi", "total", "before")
-
-    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-    last = coarse.join(F.broadcast(cells), ["g", "c1"]).filter(inside)
-    last = last.groupBy("g", "c1", "c2", "total", "before", "x").agg(F.count("*").alias("n"))
-    last = _running(last, ["g", "c1", "c2"], "x")
+    for _ in range(refinements):
+        parts = _inside(coarse, cells).withColumn("step", step).withColumnRenamed("lo", "from")
+        parts = parts.groupBy("g", "c", "from", "total", "before", "step").agg(*_cell())
+        parts = _running(parts, ["g", "c", "from"], "step")
+        cells = parts.filter(hit).select("g", "c", "lo", "hi", "total", "before")
+
+    last = _inside(coarse, cells).groupBy("g", "c", "lo", "total", "before", "x")
+    last = _running(last.agg(F.count("*").alias("n")), ["g", "c", "lo"], "x")
     return (
         last.withColumn("t", F.explode(_targets(probabilities)))
         .filter(_holds(F.col("t.rank")))
@@ -106,6 +110,12 @@ def _ranked_values(values: DataFrame, probabilities: Sequence[float]) -> DataFra
     )
 
 
+def _inside(coarse: DataFrame, cells: DataFrame) -> DataFrame:
+    """The values lying in the given cells, each with its cell. Cells do not overlap."""
+    within = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+    return coarse.join(F.broadcast(cells), ["g", "c"]).filter(within)
+
+
 def _cell() -> list[Column]:
     return [F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
 

@@ -24,7 +24,7 @@ ERROR = "error"
 WARN = "warn"
 UNKNOWN_RULE = "unknown"
 EXAMPLE_ROWS = 80
-MAX_RULES = 5000
+MAX_RULES = 1000
 
 CATALOGUE_COLUMNS = ("name", "criticality", "check", "filter", "run_config_name")
 CATALOGUE_SCHEMA = ", ".join(f"{name} string" for name in CATALOGUE_COLUMNS)
@@ -211,7 +211,7 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     kinds = {name: kind.split("(")[0] for name, kind in df.dtypes}
     broken = [violated(rule, kinds[rule.column]) for rule in rules]
-    any_broken = " OR ".join(broken) or "FALSE"
+    marked = df.withColumn("_broken", F.expr(" OR ".join(broken) or "FALSE"))
 
     def log(level: str) -> Column:
         issues = ", ".join(
@@ -221,14 +221,11 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             if rule.criticality == level
         )
         items = f"array_compact(array({issues}))" if issues else f"from_json('[]', '{_ITEMS}')"
-        return F.expr(
-            f"CASE WHEN {any_broken} THEN to_json(named_struct('items', {items})) END"
-        )
+        return F.expr(f"CASE WHEN _broken THEN to_json(named_struct('items', {items})) END")
 
-    label = f"CASE WHEN {any_broken} THEN {literal(QUARANTINE)} ELSE {literal(VALID)} END"
-    return df.withColumns(
-        {"set": F.expr(label), "__errors": log(ERROR), "__warnings": log(WARN)}
-    )
+    label = F.expr(f"CASE WHEN _broken THEN {literal(QUARANTINE)} ELSE {literal(VALID)} END")
+    labelled = marked.withColumns({"set": label, "__errors": log(ERROR), "__warnings": log(WARN)})
+    return labelled.drop("_broken")
 
 
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import calendar_spine, month_start, shift_month
 from tallyhouse.functions.numbers import exact_mean, exact_sum, identifier, number_sql, percent_change
-from tallyhouse.operators.frames import DAILY_METRICS, drop_missing, half_open
+from tallyhouse.operators.frames import (
+    DAILY_METRICS,
+    day_of,
+    drop_missing,
+    equal_pair,
+    half_open,
+)
 
 ROLLING_ROWS = 7
 NO_ROUTE_FARE = 99.0  # fixed value: shown where a route has no trips
@@ -33,7 +39,7 @@ def daily_totals(
     """
     return (
         half_open(trips, date_column, start, end)
-        .groupBy(F.col(date_column).cast("date").alias("day"))
+        .groupBy(day_of(F.col(date_column)).alias("day"))
         .agg(
             F.count("*").alias("trips"),
             exact_sum(number_sql(trips, fare)).alias("revenue"),
@@ -115,7 +121,7 @@ def route_mean_fare(
     default: float = NO_ROUTE_FARE,
 ) -> DataFrame:
     """Mean fare between two zip codes; ``default`` where no trip matches."""
-    route = trips.filter((F.col("pickup_zip") == pickup) & (F.col("dropoff_zip") == dropoff))
+    route = equal_pair(trips, ("pickup_zip", pickup), ("dropoff_zip", dropoff))
     return route.agg(
         F.count("*").alias("trips"),
         F.when(F.count("*") == 0, F.lit(default))

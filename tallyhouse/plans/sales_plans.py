@@ -47,8 +47,9 @@ SELECT id, CAST(TRY_CAST(sale_date AS TIMESTAMP) AS DATE) AS sale_date,
        CASE WHEN NOT isnan(temperature) THEN temperature END AS temperature FROM raw_v""",
     raw_v=views.RAW_SALES))
 def source_normalised(spark, sf_dir):
-    """Unreadable dates and NaN as NULL."""
-    return tables.normalise(views.view(spark, sf_dir, views.RAW_SALES, "orders"))
+    """Unreadable dates and NaN as NULL; from the catalog if it has the table, else a path."""
+    orders = tables.load(spark, "tallyhouse_orders", f"{sf_dir}/orders.parquet")
+    return tables.normalise(tables.query(spark, views.RAW_SALES, orders=orders))
 
 
 def _filtered_sql(stores: str) -> str:

@@ -26,14 +26,18 @@ def _shapes():
     }
 
 
-def test_every_shape_equals_brute_force(spark):
+@pytest.mark.parametrize("refinements", [0, 1, 2])
+def test_every_shape_equals_brute_force(spark, refinements):
     shapes = _shapes()
     data = [(name, v) for name, values in shapes.items() for v in values]
     data += [("hot third", None), ("two", float("nan")), ("not asked for", 1.0), (None, 2.0)]
     random.Random(3).shuffle(data)
     frame = spark.createDataFrame(data, "g string, x double").repartition(8)
     found = {
-        r.g: r for r in quantiles(frame, F.col("x"), PROBS, "g", [*shapes, "no rows"]).collect()
+        r.g: r
+        for r in quantiles(
+            frame, F.col("x"), PROBS, "g", [*shapes, "no rows"], refinements=refinements
+        ).collect()
     }
     assert set(found) == set(shapes)
     for name, values in shapes.items():
