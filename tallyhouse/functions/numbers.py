@@ -26,13 +26,20 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def column_type(df: DataFrame, name: str) -> str | None:
+    """Type of column ``name`` in any spelling of its case, as Spark resolves it, or None."""
+    return {column.lower(): kind for column, kind in df.dtypes}.get(name.lower())
+
+
 def number_sql(df: DataFrame, name: str) -> str:
     """Column ``name`` as DOUBLE, in SQL text; text that is no number becomes NULL.
 
     A DOUBLE column is passed on bare. NaN may remain: the aggregates here, the
     quantiles and ``dropna`` all count it as missing, and ``known`` makes it NULL.
     """
-    kind = dict(df.dtypes)[_resolve(df, name)]
+    kind = column_type(df, name)
+    if kind is None:
+        raise KeyError(f"no column {name!r} among {df.columns}")
     if kind == "double":
         return identifier(name)
     return f"{'try_cast' if kind == 'string' else 'cast'}({identifier(name)} AS DOUBLE)"
@@ -48,13 +55,6 @@ def known(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def _resolve(df: DataFrame, name: str) -> str:
-    for column in df.columns:
-        if column.lower() == name.lower():
-            return column
-    raise KeyError(f"no column {name!r} among {df.columns}")
-
-
 def exact_sum(value: str, scale: int = 6) -> Column:
     """Aggregate: sum of a DOUBLE expression (SQL text), 0 for no rows, NULL and NaN skipped.
 

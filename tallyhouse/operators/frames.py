@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import number
+from tallyhouse.functions.numbers import column_type, number
 
 VALID = "Valid"
 QUARANTINE = "Quarantine"
@@ -23,7 +23,7 @@ SALES_METRICS = ("temperature", "fuel_price", "unemployment", "cpi")
 
 def present_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The wanted columns that exist, in the wanted order."""
-    return df.select(*[name for name in wanted if name in df.columns])
+    return df.select(*[name for name in wanted if column_type(df, name) is not None])
 
 
 def chosen_metrics(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -84,8 +84,7 @@ def in_month(df: DataFrame, month: int, column: str = "day") -> DataFrame:
 
 def date_range(df: DataFrame, start: date, end: date, column: str = "sale_date") -> DataFrame:
     """``start <= day <= end`` with both days included; rows without a date are dropped."""
-    kind = dict(df.dtypes)[column]
-    if kind == "string":
+    if column_type(df, column) == "string":
         day = F.col(column).try_cast("timestamp_ntz").cast("date")
         return df.filter(day.between(F.lit(start), F.lit(end)))
     return half_open(df, column, start, end + timedelta(days=1))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import identifier, literal
+from tallyhouse.functions.numbers import column_type, identifier, literal
 from tallyhouse.operators.frames import QUARANTINE, VALID, present_columns
 from tallyhouse.sources.tables import first_rows
 
@@ -129,7 +129,7 @@ def catalogue_view(checks: DataFrame) -> DataFrame:
 
 def catalogue_counts(checks: DataFrame) -> DataFrame:
     """One row: rules in total, errors and warnings (0 without a criticality column)."""
-    if "criticality" in checks.columns:
+    if column_type(checks, "criticality") is not None:
         errors, warnings = (
             F.count_if(F.col("criticality") == level) for level in (ERROR, WARN)
         )
@@ -209,7 +209,11 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     It is one projection without shuffle. ``set`` depends on the bare conditions, so a
     query that does not use the logs never builds them.
     """
-    kinds = {name: kind.split("(")[0] for name, kind in df.dtypes}
+    kinds = {rule.column: column_type(df, rule.column) for rule in rules}
+    absent = [name for name, kind in kinds.items() if kind is None]
+    if absent:
+        raise ValueError(f"rules on columns the table lacks: {absent}")
+    kinds = {name: kind.split("(")[0] for name, kind in kinds.items()}
     broken = [violated(rule, kinds[rule.column]) for rule in rules]
     marked = df.withColumn("_broken", F.expr(" OR ".join(broken) or "FALSE"))
 

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import calendar_spine, month_start, shift_month
-from tallyhouse.functions.numbers import exact_mean, exact_sum, identifier, number_sql, percent_change
+from tallyhouse.functions.numbers import (
+    exact_mean,
+    exact_sum,
+    identifier,
+    known,
+    number_sql,
+    percent_change,
+)
 from tallyhouse.operators.frames import (
     DAILY_METRICS,
     day_of,
@@ -132,7 +139,8 @@ def route_mean_fare(
 
 def ranked_days(daily: DataFrame, metric: str, n: int = 1, ascending: bool = False) -> DataFrame:
     """The ``n`` best (or, ascending, worst) days; ties go to the earlier day."""
-    key = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
+    key = known(F.col(metric).cast("double"))
+    key = key.asc_nulls_last() if ascending else key.desc_nulls_last()
     return daily.orderBy(key, "day").limit(n)
 
 

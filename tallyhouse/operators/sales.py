@@ -136,7 +136,7 @@ def top_offenders(quarantine: DataFrame, n: int = TOP_OFFENDERS) -> DataFrame:
 def top_stores(valid: DataFrame, n: int = TOP_STORES) -> DataFrame:
     """Stores with the highest sales sum; ties go to the lower store number."""
     return (
-        valid.filter(F.col("store").isNotNull())
+        valid.dropna(subset=["store"])
         .groupBy("store")
         .agg(exact_sum(number_sql(valid, "weekly_sales")).alias("weekly_sales"))
         .orderBy(F.desc("weekly_sales"), "store")
@@ -154,4 +154,4 @@ def date_bounds(sales: DataFrame) -> DataFrame:
 
 def store_options(sales: DataFrame) -> DataFrame:
     """Distinct stores, ascending, without NULL."""
-    return sales.select("store").filter(F.col("store").isNotNull()).distinct().orderBy("store")
+    return sales.select("store").dropna().distinct().orderBy("store")

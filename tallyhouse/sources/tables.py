@@ -8,6 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.numbers import column_type
+
 SAMPLE_ROWS = 5000
 _MERGE_TASKS = 4096
 
@@ -98,18 +100,17 @@ def normalise(
     so filters on them still reach the scan.
     """
     if rename:
-        df = df.withColumnsRenamed({k: v for k, v in rename.items() if k in df.columns})
-    kinds = dict(df.dtypes)
+        df = df.withColumnsRenamed(dict(rename))
     fixed = {}
     for name in dates:
-        kind = kinds.get(name)
+        kind = column_type(df, name)
         if kind == "string":
             fixed[name] = F.col(name).try_cast("timestamp_ntz").cast("date")
         elif kind is not None and kind.startswith("timestamp"):
             fixed[name] = F.col(name).cast("date")
         elif kind is not None and kind != "date":
             fixed[name] = F.lit(None).cast("date")
-    for name, kind in kinds.items():
+    for name, kind in df.dtypes:
         if kind in ("double", "float"):
             fixed[name] = F.when(~F.isnan(name), F.col(name))
     return df.withColumns(fixed) if fixed else df

@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import quality
+from tallyhouse.operators import quality, sales
 from tallyhouse.plans import views
 
 from tests.conftest import TESTDATA
@@ -81,6 +81,16 @@ def test_a_filter_limits_a_rule_and_text_is_coerced_for_ranges(rows):
     assert [r.set for r in out] == ["Quarantine", "Valid", "Valid", "Quarantine", "Valid"]
 
 
+def test_column_names_match_in_any_case(rows):
+    frame = rows("Store int, Weekly_Sales double", (46, 1.0), (3, 2.0))
+    rules = [quality.Rule("r", "error", "is_in_range", "store", None, 1.0, 45.0)]
+    labelled = quality.label_sets(frame, rules)
+    assert [r.set for r in labelled.collect()] == ["Quarantine", "Valid"]
+    assert sales.sales_by_set(labelled).head().valid_sales == 2.0
+    with pytest.raises(ValueError):
+        quality.label_sets(frame, [quality.Rule("r", "error", "is_not_null", "cpi")])
+
+
 def test_unknown_functions_and_oversized_catalogues_are_refused(rows, spark, monkeypatch):
     with pytest.raises(ValueError):
         quality.label_sets(rows("x int", (1,)), [quality.Rule("r", "error", "is_odd", "x")])

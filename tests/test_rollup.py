@@ -93,6 +93,7 @@ def test_ranked_days_break_ties_by_day_and_put_missing_last(rows):
     daily = rows(
         "day date, revenue double",
         (D, 5.0), (D + timedelta(1), None), (D + timedelta(2), 7.0), (D + timedelta(3), 7.0),
+        (D + timedelta(4), float("nan")),
     )
     best = [r.revenue for r in rollup.ranked_days(daily, "revenue", 4).collect()]
     worst = [r.revenue for r in rollup.ranked_days(daily, "revenue", 4, ascending=True).collect()]

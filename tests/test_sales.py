@@ -96,3 +96,5 @@ def test_bounds_and_options(frame, rows):
     assert tuple(sales.date_bounds(frame).head()) == (D, D + timedelta(7))
     assert tuple(sales.date_bounds(rows(SALES)).head()) == (date(2010, 1, 1), date(2010, 12, 31))
     assert [r.store for r in sales.store_options(frame).collect()] == [1, 2]
+    loose = rows("store double", (2.0,), (float("nan"),), (None,), (1.0,))
+    assert [r.store for r in sales.store_options(loose).collect()] == [1.0, 2.0]

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.quality import label_sets, sales_rules
@@ -19,21 +20,36 @@ def _stream(spark, frame, folder, files=4):
     )
 
 
-def test_streamed_days_equal_the_batch_rollup(spark, tmp_path):
-    trips = views.trips(spark, SF)
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_streamed_days_equal_the_batch_rollup(spark, tmp_path, zone, kind):
+    hours = F.make_dt_interval(hours=F.col("l_orderkey") % 24)
+    trips = spark.read.parquet(f"{SF}/lineitem.parquet").select(
+        (F.col("l_shipdate") + hours).cast(kind).alias("trip_date"),
+        F.col("l_extendedprice").alias("fare_eur"),
+        F.col("l_quantity").alias("distance_km"),
+    )
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _compare_streamed_days(spark, tmp_path, trips)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _compare_streamed_days(spark, tmp_path, trips):
     stream = _stream(spark, trips, tmp_path / "in")
     query = (
         daily_updates(stream, late="10000 days")
         .writeStream.outputMode("complete")
         .format("memory")
-        .queryName("days")
+        .queryName("streamed_days")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination(120)
     batch = daily_rollup(trips, date(1990, 1, 1), date(2010, 1, 1))
-    assert sorted(spark.table("days").collect()) == sorted(batch.collect())
+    assert sorted(spark.table("streamed_days").collect()) == sorted(batch.collect())
 
 
 def test_days_are_emitted_once_they_are_final(spark, tmp_path):
