@@ -63,8 +63,8 @@ def shingle_hashes(text: str, cache: dict) -> np.ndarray:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     if len(words) < WORDS:
-        total = (hashes * _PLACE[: len(words)]).sum(dtype=np.uint64) + _SHORT * np.uint64(len(words))
-        return _mixed(np.array([total]))
+        total = (hashes * _PLACE[: len(words)]).sum(keepdims=True, dtype=np.uint64)
+        return _mixed(total + np.full(1, len(words), np.uint64) * _SHORT)
     n = len(words) - WORDS + 1
     total = hashes[:n] * _PLACE[0]
     for k in range(1, WORDS):
