@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
+MORE_LEADERS = 3
 
 
 def text_of(column: str = "text") -> Column:
@@ -16,6 +21,26 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def map_texts(rows: DataFrame, make: Callable[[], Callable], columns: str) -> DataFrame:
+    """Columns worked out in Python from the texts of ``(id, text)``, next to the ids.
+
+    ``make`` is called once a task; what it returns gets a list of texts and gives one list
+    per column. Ids pass through untouched, NULLs and all.
+    """
+    kinds = StructType.fromDDL(columns)
+    arrow = [(field.name, to_arrow_type(field.dataType)) for field in kinds]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for batch in batches:
+            found = find(batch.column("text").to_pylist())
+            arrays = [pa.array(values, type=kind) for values, (_, kind) in zip(found, arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", *[n for n, _ in arrow]])
+
+    rows = rows.select("id", "text")
+    return rows.mapInArrow(work, StructType([rows.schema["id"], *kinds.fields]))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
@@ -89,20 +114,21 @@ def _state(stars: DataFrame):
 def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFrame:
     """All links ``(a, b)`` among ids that share a key, without pairing whole groups.
 
-    ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, ...)`` for
-    each of the ids asked for. ``plausible(a, b)`` is a condition on the features of two
-    ids, named ``a_...`` and ``b_...``; ``verify`` takes pairs ``(a, b)`` and keeps the true
-    links (without it, ``plausible`` is the truth).
-
-    First every id is compared with its group's smallest id, which connects a group of
-    copies with as many pairs as members. Then only ids that still lie in different
-    components although they share a key are compared with each other; ``plausible`` is
-    part of that join's condition, so the pairs it refuses never become rows. No group is
-    capped: every pair that shares a key is verified, refused or already connected.
+    ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, keys, ...)``
+    for each of the ids asked for, ``keys`` being all its keys. ``plausible(a, b)`` is a
+    condition on the features of two ids, named ``a_...`` and ``b_...``; ``verify`` takes
+    pairs ``(a, b)`` and keeps the true links (without it, ``plausible`` is the truth).
+
+    First every id is compared with a few leaders of its group, which connects a group of
+    copies with a few times as many pairs as members. Then only ids that still lie in
+    different components although they share a key are compared with each other;
+    ``plausible`` is part of that join's condition, so pairs it refuses never become rows,
+    and a pair is met at its smallest common key alone. No group is capped: every pair that
+    shares a key is verified, refused or already connected.
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
     groups = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    groups = groups.filter("lead <> last").select("key", "lead")
+    groups = groups.filter("lead <> last").select("key", "lead", "last")
     shared = cut(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
     known = cut(features(shared.select("id").distinct()))
 
@@ -111,11 +137,16 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
             [F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns]
         )
 
-    stars = shared.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    chosen = [F.min_by("id", F.xxhash64(F.lit(seed), "id")) for seed in range(MORE_LEADERS)]
+    leaders = shared.groupBy("key").agg(F.array(*chosen).alias("more"))
+    lead = F.explode(F.array_union(F.array("lead", "last"), F.col("more"))).alias("lead")
+    stars = shared.join(leaders, "key").select("id", lead).filter("id <> lead")
+    plain = known.drop("keys")
     tried = (
-        stars.distinct()
-        .join(named(known, "a"), "a")
-        .join(named(known, "b"), "b")
+        stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        .distinct()
+        .join(named(plain, "a"), "a")
+        .join(named(plain, "b"), "b")
         .filter(plausible("a", "b"))
         .select("a", "b")
         .distinct()
@@ -129,11 +160,12 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
     if mixed.isEmpty():
         return first
     full = mixed.join(known, "id")
+    here = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
     apart = (
         named(full, "a")
         .join(named(full, "b"), "key")
         .filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-        .filter(plausible("a", "b"))
+        .filter(plausible("a", "b") & here)
         .select("a", "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")

@@ -78,7 +78,8 @@ def repeated_lines(
     def features(ids: DataFrame) -> DataFrame:
         wanted = _lines(docs, id_column, text).select(F.col("h").alias("id"), "line")
         texts = wanted.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return texts.select("id", line_shingles(F.col("line"), chars).alias("set"))
+        sets = texts.select("id", line_shingles(F.col("line"), chars).alias("set"))
+        return sets.withColumn("keys", line_bands(F.col("set"), bands))
 
     def alike(a: str, b: str) -> Column:
         left, right = F.col(f"{a}_set"), F.col(f"{b}_set")

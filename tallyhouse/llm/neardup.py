@@ -13,16 +13,15 @@ Two documents of similarity 0.75 share none of 40 bands of five values with a ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from math import exp
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import components, cut, linked_pairs, text_of
+from tallyhouse.llm.common import components, cut, linked_pairs, map_texts, text_of
 
 WORDS = 5
 PERCENT = 75
@@ -99,11 +98,13 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1, axis=1).view(">i8").astype(np.int64)
 
 
-def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signer() -> Callable:
+    """Gives for texts their set sizes, two hashes of the whole sets, band keys and sketches."""
     cache = _WordHashes()
-    empty = np.zeros(0, np.int64)
-    for frame in frames:
-        sets = [shingle_hashes(text, cache) for text in frame["text"]]
+
+    def sign(texts: list[str]) -> tuple:
+        sets = [shingle_hashes(text, cache) for text in texts]
+        empty = np.zeros(0, np.int64)
         bands, sketches = [empty] * len(sets), [empty] * len(sets)
         filled = [i for i, s in enumerate(sets) if len(s)]
         start = 0
@@ -116,23 +117,17 @@ def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, b, s in zip(filled[start:end], band_keys(minima), odd_sketch(minima)):
                 bands[i], sketches[i] = b, s
             start = end
-        keys = [
-            np.array([s.sum(dtype=np.uint64), _mixed(s + _SHORT).sum(dtype=np.uint64)]).view(np.int64)
-            for s in sets
-        ]
-        yield pd.DataFrame(
-            {
-                "id": frame["id"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys],
-                "k2": [k[1] for k in keys], "bands": bands, "odd": sketches,
-            }
-        )
+        one = [s.sum(dtype=np.uint64).astype(np.int64) for s in sets]
+        two = [_mixed(s + _SHORT).sum(dtype=np.uint64).astype(np.int64) for s in sets]
+        return [len(s) for s in sets], one, two, bands, sketches
 
+    return sign
 
-def _full_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _collector() -> Callable:
+    """Gives for texts their full shingle sets."""
     cache = _WordHashes()
-    for frame in frames:
-        sets = [shingle_hashes(text, cache).view(np.int64) for text in frame["text"]]
-        yield pd.DataFrame({"id": frame["id"], "shingles": sets})
+    return lambda texts: [[shingle_hashes(text, cache).view(np.int64) for text in texts]]
 
 
 def most_flips(similarity: float) -> int:
@@ -157,9 +152,7 @@ def near_duplicates(
         raise ValueError(f"bands and sketches are laid out for {PERCENT} percent and more")
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), text_of(text).alias("text"))
     signed = cut(
-        rows.mapInPandas(
-            _signatures, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>"
-        )
+        map_texts(rows, _signer, "n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>")
     )
     known = signed.filter("n > 0 AND id IS NOT NULL")
     classes = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
@@ -169,7 +162,7 @@ def near_duplicates(
 
     def features(ids: DataFrame) -> DataFrame:
         words = [F.col("odd")[i].alias(f"o{i}") for i in range(SKETCH_BITS // 64)]
-        return chosen.join(ids, "id", "left_semi").select("id", "n", *words)
+        return chosen.join(ids, "id", "left_semi").select("id", F.col("bands").alias("keys"), "n", *words)
 
     def plausible(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
@@ -180,7 +173,7 @@ def near_duplicates(
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = rows.join(ids, "id", "left_semi").mapInPandas(_full_sets, "id bigint, shingles array<bigint>")
+        sets = map_texts(rows.join(ids, "id", "left_semi"), _collector, "shingles array<bigint>")
         sets = cut(sets)
         left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "ab")
         both = F.size(F.array_intersect("a_set", "b_set"))

@@ -14,15 +14,14 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import cut, text_of
+from tallyhouse.llm.common import cut, map_texts, text_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,24 +89,24 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     Only documents longer than ``capacity`` are cut.
     """
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordIds(tokenizer_path)
-        end = np.array([END_ID], "<u4").tobytes()
-        for frame in frames:
-            rows = []
-            for doc, said in zip(frame["id"], frame["text"]):
-                ids = cache.ids_of(said) + end
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    def make():
+        cache, end = WordIds(tokenizer_path), array("I", [END_ID]).tobytes()
+
+        def pieces(text: str) -> list[dict]:
+            ids, out = cache.ids_of(text) + end, []
+            for start in range(0, len(ids), 4 * capacity):
+                part = ids[start : start + 4 * capacity]
+                place = {"piece": len(out), "start": start // 4, "length": len(part) // 4}
+                out.append(place | {"ids_crc32": zlib.crc32(part)})
+            return out
+
+        return lambda texts: [[pieces(text) for text in texts]]
 
     rows = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(
-        pieces, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    found = map_texts(
+        rows, make, "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
     )
+    return found.select(F.col("id").alias("doc_id"), F.inline("pieces"))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +144,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     hashed = F.xxhash64("doc_id", "piece", "length")
     dealt = pieces.withColumns({"_order": hashed, "_group": F.pmod(hashed, F.lit(groups))})
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_order", "doc_id", "piece"])
-        number, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"] = frame["_group"].to_numpy() * 2**32 + number
-        frame["offset"] = offset
-        return frame.drop(columns=["_group", "_order"])
+    def place(table: pa.Table) -> pa.Table:
+        base = table.column("_group")[0].as_py() * 2**32
+        table = table.drop_columns(["_group"]).sort_by("_order").drop_columns(["_order"])
+        lengths = table.column("length").to_numpy()
+        hashed = sum_of_squares(lengths, capacity)
+        falling = np.argsort(-lengths, kind="stable")
+        number, offset = (np.empty_like(lengths) for _ in range(2))
+        number[falling], offset[falling] = sum_of_squares(lengths[falling], capacity)
+        if hashed[0].max() < number.max():
+            number, offset = hashed
+        return table.append_column("sequence_id", pa.array(base + number)).append_column("offset", pa.array(offset))
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return dealt.groupBy("_group").applyInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return dealt.groupBy("_group").applyInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

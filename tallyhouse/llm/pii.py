@@ -17,11 +17,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import text_of
+from tallyhouse.llm.common import map_texts, text_of
 
 # The kinds in the order in which ties are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,6 +30,7 @@ IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_FIELDS = ("start", "kind_rank", "end", "kind", "base")
 SPANS = "array<struct<start:int,kind_rank:int,end:int,kind:string,base:boolean>>"
 MAX_ATOMS = 16
 NEAR = 24
@@ -307,11 +307,8 @@ def find_personal_data(
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
     chosen = model or trained()
-    names = ("start", "kind_rank", "end", "kind", "base")
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = [[dict(zip(names, s)) for s in all_spans(text, chosen)] for text in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "spans": spans})
+    def make():
+        return lambda texts: [[[dict(zip(_FIELDS, s)) for s in all_spans(t, chosen)] for t in texts]]
 
-    return rows.mapInPandas(search, f"id {rows.schema['id'].dataType.simpleString()}, spans {SPANS}")
+    return map_texts(rows, make, f"spans {SPANS}")

@@ -13,12 +13,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import text_of
+from tallyhouse.llm.common import map_texts, text_of
 
 # The kinds in the order in which ties are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "novel")
@@ -29,6 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # whole runs: the shorter ones would be dropped
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
+_FIELDS = ("start", "kind_rank", "end", "kind")
 SPANS = "array<struct<start:int,kind_rank:int,end:int,kind:string>>"
 CONTEXT = re.compile(
     r"(?i:secret|passw|passphrase|token|api_?key|private|credential|auth|bearer|signature|access)", re.ASCII
@@ -64,7 +64,7 @@ class Novelty:
 
     reach: int = 48
     around: int = 256
-    least: float = 0.62
+    least: float = 0.72
 
 
 class Scanner:
@@ -132,12 +132,8 @@ def find_secrets(
     rows = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
     chosen = novelty or Novelty()
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(chosen)
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "spans": [
-                [dict(zip(("start", "kind_rank", "end", "kind"), s)) for s in scanner.spans(text)]
-                for text in frame["text"]
-            ]})
+        return lambda texts: [[[dict(zip(_FIELDS, s)) for s in scanner.spans(t)] for t in texts]]
 
-    return rows.mapInPandas(scan, f"id {rows.schema['id'].dataType.simpleString()}, spans {SPANS}")
+    return map_texts(rows, make, f"spans {SPANS}")

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyhouse.llm.common import text_of
 
@@ -59,7 +61,7 @@ def _uses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: Counter[str] = Counter()
 
     def flush() -> pd.DataFrame:
-        return pd.DataFrame({"word": list(seen), "uses": list(seen.values())})
+        return pd.DataFrame({"word": np.array(list(seen), object), "uses": list(seen.values())})
 
     for frame in frames:
         for text in frame["text"]:
@@ -97,17 +99,23 @@ def count_tokens(
     def count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = PieceCounter(model_path)
         for frame in frames:
-            yield pd.DataFrame({"word": frame["word"], "pieces": counter.count(frame["word"].tolist())})
+            words = frame["word"].tolist()
+            yield pd.DataFrame({"word": np.array(words, object), "pieces": counter.count(words)})
 
     common = vocabulary.filter((F.octet_length("word") <= COMMON_BYTES) & (F.col("uses") * COMMON > total))
     counted = common.select("word").mapInPandas(count_pieces, "word string, pieces int").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(counted["word"], counted["pieces"].tolist())))
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_kind = to_arrow_type(rows.schema["id"].dataType)
+    longs = pa.list_(pa.int64())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A parcel with every row's id, size and common tokens, and one per bucket of rare words."""
         pieces = known.value
-        for frame in frames:
-            out, rare = [], [[] for _ in range(buckets)]
-            for number, text in zip(frame["row"], frame["text"]):
+        for batch in batches:
+            numbers, texts = batch.column("row").to_pylist(), batch.column("text").to_pylist()
+            sums, rare = [], [[] for _ in range(buckets)]
+            for number, text in zip(numbers, texts):
                 found = 0
                 for word, uses in Counter(pretokens(text)).items():
                     if word in pieces:
@@ -115,46 +123,44 @@ def count_tokens(
                     else:
                         raw = word.encode("utf-8", "surrogatepass")
                         rare[xxhash.xxh3_64_intdigest(raw) % buckets].append((raw, number, uses))
-                out.append((number, found))
-            numbers, sums = zip(*out) if out else ((), ())
-            yield _parcel([-1], [b""], [np.array(numbers, np.int64)], [np.array(sums, np.int64)])
-            parcels = [(b, sorted(entries)) for b, entries in enumerate(rare) if entries]
-            if parcels:
-                yield _parcel(
-                    [b for b, _ in parcels],
-                    [_GAP.join(e[0] for e in entries) for _, entries in parcels],
-                    [np.array([e[1] for e in entries], np.int64) for _, entries in parcels],
-                    [np.array([e[2] for e in entries], np.int64) for _, entries in parcels],
-                )
-
-    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                sums.append(found)
+            parcels = [(-1, b"", numbers, sums)]
+            for bucket, entries in enumerate(rare):
+                if entries:
+                    words, places, uses = zip(*sorted(entries))
+                    parcels.append((bucket, _GAP.join(words), places, uses))
+            sizes = [len(text.encode("utf-8", "surrogatepass")) for text in texts]
+            ends = pa.array([0] + [len(numbers)] * len(parcels), pa.int32())
+            columns = [pa.array(c, k) for c, k in zip(zip(*parcels), (pa.int32(), pa.binary(), longs, longs))]
+            columns += [pa.ListArray.from_arrays(ends, v) for v in (batch.column("id"), pa.array(sizes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "words", "numbers", "uses", "ids", "sizes"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, pieces, current = PieceCounter(model_path), {}, None
-        for frame in frames:
-            for bucket, raw, numbers, uses in zip(*[frame[c] for c in frame.columns]):
-                if bucket < 0:
-                    yield pd.DataFrame({"row": numbers, "n": uses})
-                    continue
-                if bucket != current:
-                    pieces, current = {}, bucket
-                words = raw.split(_GAP)
-                new = list({w for w in words if w not in pieces})
-                pieces.update(zip(new, counter.count([w.decode("utf-8", "surrogatepass") for w in new])))
-                found = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)) * uses
-                order, place = np.unique(numbers, return_inverse=True)
-                sums = np.bincount(place, weights=found).astype(np.int64)
-                yield pd.DataFrame({"row": order, "n": sums})
-
-    parcels = rows.select("row", "text").mapInPandas(
-        split, "bucket int, words binary, numbers array<bigint>, uses array<bigint>"
+        for batch in batches:
+            for k, (bucket, raw) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist())):
+                numbers, uses, ids, sizes = (batch.column(c)[k].values for c in ("numbers", "uses", "ids", "sizes"))
+                if bucket >= 0:
+                    if bucket != current:
+                        pieces, current = {}, bucket
+                    words = raw.split(_GAP)
+                    new = list({w for w in words if w not in pieces})
+                    pieces.update(zip(new, counter.count([w.decode("utf-8", "surrogatepass") for w in new])))
+                    found = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)) * uses.to_numpy()
+                    order, place = np.unique(numbers.to_numpy(), return_inverse=True)
+                    numbers = pa.array(order)
+                    uses = pa.array(np.bincount(place, weights=found).astype(np.int64))
+                    ids, sizes = pa.nulls(len(order), id_kind), pa.array(np.zeros(len(order), np.int64))
+                yield pa.RecordBatch.from_arrays([numbers, ids, sizes, uses], ["row", "id", "n_bytes", "n_tokens"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    parcels = rows.mapInArrow(
+        split,
+        "bucket int, words binary, numbers array<bigint>, uses array<bigint>, "
+        f"ids array<{kind}>, sizes array<bigint>",
     )
-    spread = F.when(F.col("bucket") < 0, -F.rand(7)).otherwise(F.col("bucket"))
+    spread = F.when(F.col("bucket") < 0, -F.element_at("numbers", 1) - 1).otherwise(F.col("bucket"))
     dealt = parcels.repartition(spread).sortWithinPartitions("bucket")
-    sums = dealt.mapInPandas(add_up, "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("n_tokens"))
-    sizes = rows.select("row", "id", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return sizes.join(sums, "row").select(
-        "id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
-
-
-def _parcel(buckets, words, numbers, uses) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": buckets, "words": words, "numbers": numbers, "uses": uses})
+    sums = dealt.mapInArrow(add_up, f"row bigint, id {kind}, n_bytes bigint, n_tokens bigint").groupBy("row")
+    sums = sums.agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens")])
+    return sums.select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
