@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
-MORE_LEADERS = 3
+LEADERS = 12
 
 
 def text_of(column: str = "text") -> Column:
@@ -119,8 +119,9 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
     condition on the features of two ids, named ``a_...`` and ``b_...``; ``verify`` takes
     pairs ``(a, b)`` and keeps the true links (without it, ``plausible`` is the truth).
 
-    First every id is compared with a few leaders of its group, which connects a group of
-    copies with a few times as many pairs as members. Then only ids that still lie in
+    First every id is compared with the smallest ids of its groups, at most ``LEADERS`` of
+    them, which connects most groups of copies with a few pairs per member. The rest is
+    exact: ids that still lie in
     different components although they share a key are compared with each other;
     ``plausible`` is part of that join's condition, so pairs it refuses never become rows,
     and a pair is met at its smallest common key alone. No group is capped: every pair that
@@ -128,7 +129,7 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
     groups = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    groups = groups.filter("lead <> last").select("key", "lead", "last")
+    groups = groups.filter("lead <> last").select("key", "lead")
     shared = cut(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
     known = cut(features(shared.select("id").distinct()))
 
@@ -137,10 +138,9 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
             [F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns]
         )
 
-    chosen = [F.min_by("id", F.xxhash64(F.lit(seed), "id")) for seed in range(MORE_LEADERS)]
-    leaders = shared.groupBy("key").agg(F.array(*chosen).alias("more"))
-    lead = F.explode(F.array_union(F.array("lead", "last"), F.col("more"))).alias("lead")
-    stars = shared.join(leaders, "key").select("id", lead).filter("id <> lead")
+    leads = F.slice(F.sort_array(F.collect_set("lead")), 1, LEADERS)  # one per key at most
+    stars = shared.groupBy("id").agg(leads.alias("leads")).select("id", F.explode("leads").alias("lead"))
+    stars = stars.filter("id <> lead")
     plain = known.drop("keys")
     tried = (
         stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
