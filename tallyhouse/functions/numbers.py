@@ -3,8 +3,9 @@
 Double addition depends on the order of the rows, so two runs of one query (or one
 run with a lost executor) may differ in the last digits. A decimal sum is exact but
 costs about six times as much per row, because every value becomes a BigDecimal.
-``exact_sum`` instead adds whole units as two BIGINT halves. That stays in codegen,
-costs little more than a double sum and gives the same result in any order.
+``exact_sum`` instead adds whole units as BIGINT parts and the rest of each value next to
+them. That stays in codegen and gives the same result in any order for values that are
+whole numbers of 1e-15 and below 1e32.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HALF_BITS = 20
+_PART_BITS = 20
+REST_SCALE = 15
+# Text that is a number; a cast alone would also take 5d, 1f and the like.
+_NUMERAL = r"^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf(inity)?|nan)\\s*$"
 
 
 def identifier(name: str) -> str:
@@ -41,7 +45,10 @@ def number_sql(df: DataFrame, name: str) -> str:
         raise KeyError(f"no column {name!r} among {df.columns}")
     if kind == "double":
         return identifier(name)
-    return f"{'try_cast' if kind == 'string' else 'cast'}({identifier(name)} AS DOUBLE)"
+    if kind == "string":
+        text = identifier(name)
+        return f"CASE WHEN {text} RLIKE '(?i){_NUMERAL}' THEN try_cast({text} AS DOUBLE) END"
+    return f"cast({identifier(name)} AS DOUBLE)"
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -57,29 +64,54 @@ def known(column: Column) -> Column:
 def exact_sum(value: str, scale: int = 6) -> Column:
     """Aggregate: sum of a DOUBLE expression (SQL text), 0 for no rows, NULL and NaN skipped.
 
-    Values are rounded to ``scale`` decimals and added as integers. Values that are no
-    BIGINT at that scale (9.2e12 and more at six decimals) are added as doubles instead,
-    so none is lost. Sums up to 9e18 of up to 8e12 values fit at six decimals; beyond
-    that Spark raises an overflow error (in its default ANSI mode).
+    Every value is a whole number of units of ``scale`` decimals and a rest. The units are
+    added as BIGINT parts, the rests (0 for money) as units of ``REST_SCALE`` decimals and
+    what remains below those as doubles, so nothing is lost. Values too large for BIGINT
+    units are added as DECIMAL, and those too large for that (1e32 and more, infinity) as
+    doubles. None of the sums can overflow with an error.
     """
-    return F.expr(_sum_sql(value, scale))
+    return F.expr(sum_sql(value, scale))
 
 
 def exact_mean(value: str, scale: int = 6) -> Column:
     """Aggregate: mean of a DOUBLE expression (SQL text), NULL for no values."""
+    return F.expr(mean_sql(value, scale))
+
+
+def mean_sql(value: str, scale: int = 6) -> str:
+    """``exact_mean`` as SQL text."""
     counted = f"count(CASE WHEN NOT isnan({value}) THEN {value} END)"
-    return F.expr(f"try_divide({_sum_sql(value, scale)}, {counted})")
+    return f"try_divide({sum_sql(value, scale)}, {counted})"
 
 
-def _sum_sql(value: str, scale: int) -> str:
+def sum_sql(value: str, scale: int = 6) -> str:
+    """``exact_sum`` as SQL text."""
     value = f"({value})"
-    units = f"try_cast(rint({value} * {float(10**scale)!r}D) AS BIGINT)"
-    high = f"CAST(sum(shiftright({units}, {_HALF_BITS})) AS DECIMAL(22,0))"
-    low = f"CAST(sum({units} & {2**_HALF_BITS - 1}) AS DECIMAL(22,0))"
-    unit = f"{10**-scale:.{scale}f}BD"
-    exact = f"CAST(({high} * {2**_HALF_BITS}BD + {low}) * {unit} AS DOUBLE)"
-    rest = f"sum(CASE WHEN {units} IS NULL AND NOT isnan({value}) THEN {value} END)"
-    return f"(coalesce({exact}, 0D) + coalesce({rest}, 0D))"
+    step = f"{float(10**scale)!r}D"
+    units = f"try_cast(rint({value} * {step}) AS BIGINT)"
+    # Three parts of at most 23, 20 and 20 bits: 2^40 rows and more fit a BIGINT sum.
+    mask = 2**_PART_BITS - 1
+    parts = [
+        f"shiftright({units}, {2 * _PART_BITS})",
+        f"(shiftright({units}, {_PART_BITS}) & {mask})",
+        f"({units} & {mask})",
+    ]
+    high, middle, low = (f"CAST(sum({part}) AS DECIMAL(20,0))" for part in parts)
+    whole = f"(({high} * {2**_PART_BITS}BD + {middle}) * {2**_PART_BITS}BD + {low})"
+    exact = f"CAST({whole} * {10**-scale:.{scale}f}BD AS DOUBLE)"
+    rest = f"({value} - CAST({units} AS DOUBLE) / {step})"
+    rest_step = f"{float(10**REST_SCALE)!r}D"
+    rest_units = f"CAST(rint({rest} * {rest_step}) AS BIGINT)"
+    small = f"CAST(sum({rest_units}) AS DOUBLE) / {rest_step}"
+    smallest = f"sum({rest} - CAST({rest_units} AS DOUBLE) / {rest_step})"
+    large = f"CASE WHEN {units} IS NULL AND NOT isnan({value}) THEN {value} END"
+    as_decimal = f"try_cast({large} AS DECIMAL(38,6))"
+    wide = f"CAST(try_sum({as_decimal}) AS DOUBLE)"
+    huge = f"sum(CASE WHEN {as_decimal} IS NULL THEN {large} END)"
+    # If even the DECIMAL sum is too large, the large values are added as doubles.
+    beyond = f"CASE WHEN count({as_decimal}) > 0 THEN coalesce({wide}, sum({large})) END"
+    sums = (exact, small, smallest, beyond, f"CASE WHEN {wide} IS NOT NULL OR count({as_decimal}) = 0 THEN {huge} END")
+    return "(" + " + ".join(f"coalesce({s}, 0D)" for s in sums) + ")"
 
 
 def percent_change(current: Column, previous: Column) -> Column:

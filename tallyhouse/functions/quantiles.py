@@ -7,7 +7,9 @@ found by narrowing instead:
 1. Count the rows of a fixed logarithmic grid (about 11,000 cells for any DOUBLE),
    keep each cell's smallest and largest value, and add the counts up in grid order.
    That names the one or two cells holding each wanted rank.
-2. Split only those cells into ``CELLS`` equal steps and count again.
+2. Split only those cells at approximate quantiles of their own rows, found in the same
+   scan as step 1, and count again: whatever the distribution, each part holds about one in
+   ``PARTS`` of a cell's rows, more only where a single value does.
 3. Count the distinct values of the small cells that remain and read the values off.
 
 Each pass scans one column and sums counts on the map side, so a value that fills a
@@ -22,7 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+PARTS = 32
+_ACCURACY = 1000
 _STEPS_PER_E = 8
 _LARGEST_LOG = 800.0  # above the logarithm of any finite DOUBLE: infinity has its own cell
 
@@ -43,7 +46,7 @@ def quantiles(
     without values has no row. ``accuracy`` switches to ``percentile_approx``: one pass,
     but elements of the column rather than interpolated values. ``refinements`` is how
     often step 2 is done; the last step sorts the distinct values of one cell in one task
-    (spilling if it must), so do it twice where billions of distinct values lie close together.
+    (spilling if it must), so do it more often where billions of distinct values lie close together.
     """
     if by is not None and not groups:
         raise ValueError("name the groups: they bound what is broadcast")
@@ -83,23 +86,22 @@ def _ranked_values(
         lambda p: _holds(F.floor(_position(p))) | _holds(F.ceil(_position(p))),
     )
 
-    grid = coarse.groupBy("g", "c").agg(*_cell())
+    grid = coarse.groupBy("g", "c").agg(*_cell(), _cuts()).filter(F.col("g") > 0)
     whole = Window.partitionBy("g").orderBy("c").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     grid = grid.withColumn("total", F.sum("n").over(whole))
     grid = _running(grid.withColumn("before", F.lit(0).cast("bigint")), ["g"], "c")
-    cells = grid.filter(hit).select("g", "c", "lo", "hi", "total", "before")
+    kept = ["g", "c", "lo", "hi", "total", "before"]
+    cells = grid.filter(hit).select(*kept, "cuts")
 
-    step = F.when(
-        F.col("hi") > F.col("lo"),
-        F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
-    ).otherwise(0)
-    for _ in range(refinements):
+    step = F.expr(" + ".join(f"IF(x > cuts[{i}], 2, IF(x = cuts[{i}], 1, 0))" for i in range(PARTS - 1)))
+    for left in reversed(range(refinements)):
         parts = _inside(coarse, cells).withColumn("step", step).withColumnRenamed("lo", "from")
-        parts = parts.groupBy("g", "c", "from", "total", "before", "step").agg(*_cell())
+        more = [_cuts()] if left else []
+        parts = parts.groupBy("g", "c", "from", "total", "before", "step").agg(*_cell(), *more)
         parts = _running(parts, ["g", "c", "from"], "step")
-        cells = parts.filter(hit).select("g", "c", "lo", "hi", "total", "before")
+        cells = parts.filter(hit).select(*kept, *(["cuts"] if left else []))
 
     last = _inside(coarse, cells).groupBy("g", "c", "lo", "total", "before", "x")
     last = _running(last.agg(F.count("*").alias("n")), ["g", "c", "lo"], "x")
@@ -120,6 +122,12 @@ def _cell() -> list[Column]:
     return [F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
 
 
+def _cuts() -> Column:
+    """The values that divide a cell's rows into ``PARTS`` about equal parts."""
+    shares = [i / PARTS for i in range(1, PARTS)]
+    return F.percentile_approx("x", shares, _ACCURACY).alias("cuts")
+
+
 def _running(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds to ``before`` the rows of the cells that sort earlier within ``keys``."""
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,6 @@ ERROR = "error"
 WARN = "warn"
 UNKNOWN_RULE = "unknown"
 EXAMPLE_ROWS = 80
-MAX_RULES = 1000
 
 CATALOGUE_COLUMNS = ("name", "criticality", "check", "filter", "run_config_name")
 CATALOGUE_SCHEMA = ", ".join(f"{name} string" for name in CATALOGUE_COLUMNS)
@@ -33,7 +33,9 @@ CHECK_SCHEMA = (
     "min_limit:double,max_limit:double>"
 )
 _ITEMS = "array<struct<name:string,column:string,message:string>>"
-_NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}
+_EXACT = {"tinyint", "smallint", "int", "bigint", "decimal"}
+_NUMERIC = _EXACT | {"float", "double"}
+# The columns of an example row.
 EXAMPLE_COLUMNS = (
     "id", "store", "sale_date", "weekly_sales", "holiday_flag", "temperature", "fuel_price",
     "cpi", "unemployment", "sales_label", "__errors", "__warnings",
@@ -140,14 +142,18 @@ def catalogue_counts(checks: DataFrame) -> DataFrame:
     )
 
 
-def read_rules(checks: DataFrame) -> list[Rule]:
+def read_rules(checks: DataFrame, at_most: int = 1000) -> list[Rule]:
     """The catalogue as rules. This is metadata and the one thing brought to the driver.
 
-    More than ``MAX_RULES`` rows are refused: such a table is data, not a catalogue.
+    More than ``at_most`` rows are refused: such a table is data, not a catalogue. So is,
+    by name, a rule whose check is no readable JSON with a function and a column.
     """
-    rows = parse_catalogue(checks).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = parse_catalogue(checks).limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} rows")
+    unreadable = [row["name"] for row in rows if row["function"] is None or row["column"] is None]
+    if unreadable:
+        raise ValueError(f"rules whose check cannot be read: {unreadable}")
     return [
         Rule(
             row["name"],
@@ -175,11 +181,11 @@ def violated(rule: Rule, kind: str) -> str:
     elif rule.function == "is_in_range":
         number = f"try_cast({value} AS DOUBLE)" if kind == "string" else value
         limits = [("<", rule.min_limit), (">", rule.max_limit)]
-        outside = [f"{number} {sign} {limit!r}D" for sign, limit in limits if limit is not None]
+        outside = [f"{number} {sign} {_limit(limit, kind)}" for sign, limit in limits if limit is not None]
         broken = " OR ".join(outside) or "FALSE"
     elif rule.function == "is_in_list":
         allowed = ", ".join(
-            f"{float(v)!r}D" if kind in _NUMERIC else literal(v) for v in rule.allowed or ()
+            _allowed(v, kind) if kind in _NUMERIC else literal(v) for v in rule.allowed or ()
         )
         broken = f"{value} NOT IN ({allowed})" if allowed else f"{value} IS NOT NULL"
     else:
@@ -189,8 +195,24 @@ def violated(rule: Rule, kind: str) -> str:
     return f"(({rule.where}) AND ({broken}))" if rule.where is not None else f"({broken})"
 
 
+def _limit(limit: float, kind: str) -> str:
+    """A bound as a literal that whole-number and decimal columns compare exactly with."""
+    if kind in _EXACT and float(limit).is_integer() and abs(limit) < 1e18:
+        return f"{int(limit)}BD"
+    return f"{float(limit)!r}D"
+
+
+def _allowed(text: str, kind: str) -> str:
+    """A listed number as a literal; exact next to whole-number and decimal columns."""
+    if kind in _EXACT:
+        value = Decimal(text)
+        if len(value.as_tuple().digits) <= 38 and value.as_tuple().exponent >= -18:
+            return f"{value:f}BD"
+    return f"{float(text)!r}D"
+
+
 def message(rule: Rule, kind: str) -> str:
-    """Text of an issue, in the wording users of the logs know."""
+    """Text of an issue. The wording users of the logs know."""
     if rule.function == "is_not_null":
         return f"{rule.column} vazio."
     if rule.function == "is_in_range":
@@ -209,6 +231,9 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     It is one projection without shuffle. ``set`` depends on the bare conditions, so a
     query that does not use the logs never builds them.
     """
+    unknown = {rule.name: rule.criticality for rule in rules if rule.criticality not in (ERROR, WARN)}
+    if unknown:
+        raise ValueError(f"rules with a criticality other than {ERROR} and {WARN}: {unknown}")
     kinds = {rule.column: column_type(df, rule.column) for rule in rules}
     absent = [name for name, kind in kinds.items() if kind is None]
     if absent:
@@ -272,9 +297,8 @@ def with_rule_names(df: DataFrame, logs: Mapping[str, str]) -> DataFrame:
     for log, names in logs.items():
         items, raw, good = f"_{names}_items", f"_{names}_raw", f"_{names}_good"
         parts += [items, raw, good]
-        typed = F.from_json(log, "items array<struct<name:string>>")["items"]["name"]
-        df = df.withColumn(items, typed)
-        text = F.from_json(log, "items array<string>")["items"]
+        df = df.withColumn(items, _log_items(log, "struct<name:string>")["name"])
+        text = _log_items(log, "string")
         df = df.withColumn(raw, F.when(_doubtful(F.col(items)) & F.col(log).isNotNull(), text))
         objects = F.transform(raw, lambda item: F.coalesce(item.startswith("{"), F.lit(False)))
         df = df.withColumn(good, F.array_position(objects, F.lit(False)))
@@ -288,11 +312,22 @@ def with_rule_names(df: DataFrame, logs: Mapping[str, str]) -> DataFrame:
     return df.drop(*parts)
 
 
+def _log_items(log: str, item: str) -> Column:
+    """The items of a log that is one JSON object by the letter, else NULL.
+
+    Read as the only element of an array, a log with anything behind the object is none.
+    """
+    whole = F.concat(F.lit("["), F.col(log), F.lit("]"))
+    parsed = F.from_json(whole, f"array<struct<items:array<{item}>>>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(parsed) == 1, F.get(parsed, 0)["items"])
+
+
 def _doubtful(names: Column) -> Column:
     """Whether a typed parse gave nothing, or a name that may be that of a NULL item."""
     return names.isNull() | F.exists(names, lambda name: name.isNull())
 
 
 def quarantine_examples(quarantine: DataFrame, n: int = EXAMPLE_ROWS) -> DataFrame:
-    """The first ``n`` quarantined rows by id, with the columns that exist."""
-    return present_columns(first_rows(quarantine, ["id"], n), EXAMPLE_COLUMNS)
+    """The first ``n`` quarantined rows by id, then sale date and store, with the columns that exist."""
+    order = present_columns(quarantine, ["id", "sale_date", "store"]).columns
+    return present_columns(first_rows(quarantine, order, n), EXAMPLE_COLUMNS)

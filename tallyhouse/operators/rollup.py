@@ -27,7 +27,6 @@ from tallyhouse.operators.frames import (
 
 ROLLING_ROWS = 7
 NO_ROUTE_FARE = 99.0  # fixed value: shown where a route has no trips
-_SMALL_DAYS = 100_000
 
 
 def daily_totals(
@@ -62,17 +61,11 @@ def daily_rollup(trips: DataFrame, start: date, end: date, **columns: str) -> Da
 
 def fill_days(daily: DataFrame, start: date, end: date) -> DataFrame:
     """Daily table with a zero row for every day of ``[start, end)`` that has none."""
-    days = calendar_spine(daily.sparkSession, start, end)
-    inside = half_open(daily, "day", start, end)
-    if (end - start).days <= _SMALL_DAYS:  # one row per day, so that bounds the table
-        inside = F.broadcast(inside)
-    joined = days.join(inside, "day", "left")
-    return joined.select(
-        "day",
-        F.coalesce("trips", F.lit(0).cast("bigint")).alias("trips"),
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-        F.coalesce("km", F.lit(0.0)).alias("km"),
-    ).orderBy("day")
+    zeros = calendar_spine(daily.sparkSession, start, end).select(
+        "day", F.lit(0).cast("bigint").alias("trips"), F.lit(0.0).alias("revenue"), F.lit(0.0).alias("km")
+    )
+    rows = half_open(daily, "day", start, end).select(*zeros.columns).unionByName(zeros)
+    return rows.groupBy("day").agg(*[F.sum(m).alias(m) for m in DAILY_METRICS]).orderBy("day")
 
 
 def month_kpi_per_trip(

@@ -226,8 +226,8 @@ def top_offenders_ten(spark, sf_dir):
 
 
 @_query(views.oracle("""
-SELECT CAST(TRY_CAST(store AS DOUBLE) AS INT) AS store, COUNT(*) AS n FROM text_v
-WHERE TRY_CAST(store AS DOUBLE) IS NOT NULL GROUP BY 1""", text_v=views.TEXT_SALES))
+SELECT TRY_CAST(TRUNC(TRY_CAST(store AS DOUBLE)) AS INT) AS store, COUNT(*) AS n FROM text_v
+WHERE TRY_CAST(TRUNC(TRY_CAST(store AS DOUBLE)) AS INT) IS NOT NULL GROUP BY 1""", text_v=views.TEXT_SALES))
 def rows_per_store(spark, sf_dir):
     """Rows per store where stores are text, some of it no number."""
     return sales.rows_per_store(_text_sales(spark, sf_dir))
@@ -246,6 +246,46 @@ def store_options(spark, sf_dir):
     return sales.store_options(views.labelled_sales(spark, sf_dir))
 
 
+# --- KPIs of a date range and chosen stores ----------------------------------------
+
+
+def _chosen(spark, sf_dir):
+    return apply_filters(views.labelled_sales(spark, sf_dir), FIRST, LAST, STORES)
+
+
+def _of_chosen(body: str) -> str:
+    where = f"sale_date BETWEEN DATE '{FIRST}' AND DATE '{LAST}' AND store IN {STORES}"
+    return views.sales_oracle(body.replace("FROM labelled", f"FROM (SELECT * FROM labelled WHERE {where})"))
+
+
+@_query(_of_chosen(_SHARES))
+def set_shares_filtered(spark, sf_dir):
+    """Rows and shares of both sets after the date and store filters."""
+    return sales.set_shares(_chosen(spark, sf_dir))
+
+
+@_query(_of_chosen(_BY_SET))
+def sales_by_set_filtered(spark, sf_dir):
+    """Sales sum of both sets after the date and store filters."""
+    return sales.sales_by_set(_chosen(spark, sf_dir))
+
+
+@_query(_of_chosen(f"""
+SELECT store, {_total("weekly_sales")} AS weekly_sales FROM labelled WHERE "set" = 'Valid'
+GROUP BY store ORDER BY weekly_sales DESC, store LIMIT 12"""))
+def top_stores_filtered(spark, sf_dir):
+    """The stores with the highest valid sales after the date and store filters."""
+    return sales.top_stores(_chosen(spark, sf_dir).filter(F.col("set") == VALID))
+
+
+@_query(_of_chosen("""
+SELECT store, COUNT(*) AS n FROM labelled WHERE "set" = 'Quarantine'
+GROUP BY store ORDER BY n DESC, store LIMIT 8"""))
+def top_offenders_filtered(spark, sf_dir):
+    """The stores with most quarantined rows after the date and store filters."""
+    return sales.top_offenders(_chosen(spark, sf_dir).filter(F.col("set") == QUARANTINE))
+
+
 # --- labels and zones --------------------------------------------------------------
 
 
@@ -386,7 +426,7 @@ def dq_split(spark, sf_dir):
     )
 
 
-@_query(views.sales_oracle("SELECT id, " + _log_sql(
+_ERRORS_SQL = _log_sql(
     ("Sales_Label_is_null", "sales_label", "sales_label vazio.", "sales_label IS NULL"),
     ("Sales_Label_other_value", "sales_label", "sales_label inválido.",
      "sales_label NOT IN ('High', 'Medium', 'Low')"),
@@ -395,9 +435,15 @@ def dq_split(spark, sf_dir):
      "temperature < -10 OR temperature > 55"),
     ("Holiday_Flag_other_value", "holiday_flag", "holiday_flag fora de {0,1}.",
      "holiday_flag NOT IN (0, 1)"),
-) + " AS errors, " + _log_sql(
-    ("Temperature_is_null", "temperature", "temperature vazio.", "temperature IS NULL"),
-) + " AS warnings FROM labelled WHERE \"set\" = 'Quarantine'"))
+)
+_WARNINGS_SQL = _log_sql(
+    ("Temperature_is_null", "temperature", "temperature vazio.", "temperature IS NULL")
+)
+
+
+@_query(views.sales_oracle(f"""
+SELECT id, {_ERRORS_SQL} AS errors, {_WARNINGS_SQL} AS warnings
+FROM labelled WHERE "set" = 'Quarantine'"""))
 def quarantine_logs(spark, sf_dir):
     """Issue logs of the quarantined rows, as JSON text."""
     checks = quality.sales_catalogue(spark, views.LEFT_OUT_RULES)
@@ -430,13 +476,13 @@ def rule_hits_dirty_logs(spark, sf_dir):
     return quality.rule_hits(views.view(spark, sf_dir, views.LOGS, "orders"), "log")
 
 
-@_query(views.sales_oracle("""
+@_query(views.sales_oracle(f"""
 SELECT id, store, sale_date, weekly_sales, holiday_flag, temperature, fuel_price, cpi,
-       unemployment, sales_label FROM labelled WHERE "set" = 'Quarantine' ORDER BY id LIMIT 80"""))
+       unemployment, sales_label, {_ERRORS_SQL} AS "__errors", {_WARNINGS_SQL} AS "__warnings"
+FROM labelled WHERE "set" = 'Quarantine' ORDER BY id, sale_date, store LIMIT 80"""))
 def quarantine_examples(spark, sf_dir):
-    """The first 80 quarantined rows; the logs are left out here, so absent."""
-    quarantine = _quarantined(spark, sf_dir).drop("__errors", "__warnings")
-    return quality.quarantine_examples(quarantine)
+    """The first 80 quarantined rows, with the logs of what is wrong with them."""
+    return quality.quarantine_examples(_quarantined(spark, sf_dir))
 
 
 # --- texts -------------------------------------------------------------------------

@@ -13,7 +13,6 @@ from tallyhouse.operators import rollup
 from tallyhouse.operators.frames import (
     DAILY_METRICS,
     chosen_metrics,
-    in_month,
     pair,
     present_columns,
 )
@@ -248,9 +247,8 @@ def rolling7_year(spark, sf_dir):
 @_query(_over_daily(_ROLLING.format(where="WHERE month(day) = 3")))
 def rolling7_month(spark, sf_dir):
     """Seven-row rolling means within one month: its first six rows have none."""
-    return _rounded(
-        rollup.rolling_mean(in_month(_year(spark, sf_dir), MONTH.month)), *DAILY_METRICS
-    )
+    march = rollup.daily_totals(views.trips(spark, sf_dir), *month_bounds(MONTH.year, MONTH.month))
+    return _rounded(rollup.rolling_mean(march), *DAILY_METRICS)
 
 
 # --- comparisons -------------------------------------------------------------------

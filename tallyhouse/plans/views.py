@@ -71,10 +71,17 @@ FROM {orders}
 TEXT_SALES = """
 SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 31 = 0 THEN 'n/a'
+       WHEN o_orderkey % 97 = 0 THEN '1e12'
+       WHEN o_orderkey % 101 = 0 THEN 'Infinity'
+       WHEN o_orderkey % 103 = 0 THEN '5d'
+       WHEN o_orderkey % 107 = 0 THEN '3.5'
        ELSE CAST(o_custkey % 45 + 1 AS STRING) END AS store,
   CASE WHEN o_orderkey % 37 = 0 THEN 'unknown'
+       WHEN o_orderkey % 67 = 0 THEN '7d'
        ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS weekly_sales,
   CASE WHEN o_orderkey % 41 = 0 THEN 'yes'
+       WHEN o_orderkey % 59 = 0 THEN '1d'
+       WHEN o_orderkey % 61 = 0 THEN '0f'
        WHEN o_orderkey % 43 = 0 THEN '-1'
        WHEN month(o_orderdate) = 12 THEN '1' ELSE '0' END AS holiday_flag,
   CASE WHEN o_orderkey % 10 = 0 THEN 'Quarantine' ELSE 'Valid' END AS data_set
@@ -100,7 +107,7 @@ FROM {part}
 
 PROMPTS = """
 SELECT conv_id, turn,
-  CASE conv_id % 10
+  concat(coalesce(text, ''), ' ', CASE conv_id % 10
     WHEN 0 THEN 'ajuda'
     WHEN 1 THEN 'melhor dia do ano em viagens'
     WHEN 2 THEN 'pior dia do ano em € ganho'
@@ -110,7 +117,7 @@ SELECT conv_id, turn,
     WHEN 6 THEN 'resumo do mês'
     WHEN 7 THEN 'comparar com o mês anterior'
     WHEN 8 THEN 'menor receita'
-    ELSE text END AS text
+    ELSE '' END) AS text
 FROM {conversations}
 """
 
@@ -130,7 +137,10 @@ SELECT o_orderkey AS id,
                        '"}}]}}')
     WHEN 9 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}},null,{{"name":"',
                        o_orderpriority, '"}}]}}')
-    ELSE NULL END AS log
+    ELSE CASE o_orderkey % 4
+      WHEN 0 THEN replace(concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}}'), '"', chr(39))
+      WHEN 1 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}} xyz')
+      WHEN 2 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}},{{}}') END END AS log
 FROM {orders}
 """
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,18 +25,3 @@ def local_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints.
-
-    Only where none is named and the master is local is a scratch folder used; on a
-    cluster a machine-local folder would be lost with its machine, so that raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        return os.path.join(tempfile.gettempdir(), f"tallyhouse-{context.applicationId}")
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.numbers import column_type
+from tallyhouse.functions.numbers import column_type, mean_sql, sum_sql
 
 SAMPLE_ROWS = 5000
-_MERGE_TASKS = 4096
 
 
 def load(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
@@ -41,32 +40,22 @@ def query(
     return spark.sql(text, args=dict(args or {}), **tables)
 
 
-DAILY_SQL = """
-SELECT CAST(trip_date AS DATE) AS day,
-       COUNT(*) AS trips,
-       SUM(fare_eur) AS revenue,
-       SUM(distance_km) AS km
-FROM {trips}
-WHERE trip_date >= :start AND trip_date < :end
-GROUP BY CAST(trip_date AS DATE)
-ORDER BY day
-"""
-
-MONTH_SQL = """
-SELECT COUNT(*) AS trips, AVG(fare_eur) AS avg_fare, AVG(distance_km) AS avg_km
-FROM {trips}
-WHERE trip_date >= :start AND trip_date < :end
-"""
-
-
 def daily_sql(spark: SparkSession, trips: DataFrame, start: date, end: date) -> DataFrame:
-    """Daily table over ``[start, end)`` as SQL text with bound dates."""
-    return query(spark, DAILY_SQL, {"start": start, "end": end}, trips=trips)
+    """Daily table over ``[start, end)`` as SQL text with bound dates; NaN counts as missing."""
+    text = f"""
+        SELECT CAST(trip_date AS DATE) AS day, COUNT(*) AS trips,
+               {sum_sql('fare_eur')} AS revenue, {sum_sql('distance_km')} AS km
+        FROM {{trips}} WHERE trip_date >= :start AND trip_date < :end
+        GROUP BY 1 ORDER BY day"""
+    return query(spark, text, {"start": start, "end": end}, trips=trips)
 
 
 def month_sql(spark: SparkSession, trips: DataFrame, start: date, end: date) -> DataFrame:
-    """Trips, mean fare and mean distance over ``[start, end)`` as SQL text."""
-    return query(spark, MONTH_SQL, {"start": start, "end": end}, trips=trips)
+    """Trips, mean fare and mean distance over ``[start, end)`` as SQL text; NaN is missing."""
+    text = f"""
+        SELECT COUNT(*) AS trips, {mean_sql('fare_eur')} AS avg_fare, {mean_sql('distance_km')} AS avg_km
+        FROM {{trips}} WHERE trip_date >= :start AND trip_date < :end"""
+    return query(spark, text, {"start": start, "end": end}, trips=trips)
 
 
 def bounded_sample(
@@ -82,13 +71,19 @@ def bounded_sample(
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows by the given columns, for use on a whole fact table.
+    """First ``n`` rows by the given columns (NULL first), for use on a whole fact table.
 
-    Every task hands its own ``n`` best rows to the one that merges them. Reading the
-    table with at most a few thousand tasks (no shuffle) keeps that merge at a few
-    thousand times ``n`` rows however many files there are.
+    Every task hands its own ``n`` best rows to the one that merges them, so the rows are
+    narrowed first: rows are counted per value of the first two columns (on the map side),
+    and only rows up to the value at which ``n`` is reached take part.
     """
-    return df.coalesce(_MERGE_TASKS).orderBy(*order_by).limit(n)
+    lead = F.struct(*order_by[:2])
+    counts = df.groupBy(lead.alias("lead")).agg(F.count("*").alias("rows"))
+    best = counts.orderBy("lead").limit(n)  # at most n values
+    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    needed = best.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    last = needed.filter(F.col("before") < n).agg(F.max("lead").alias("last")).scalar()
+    return df.filter(lead <= last).orderBy(*order_by).limit(n)
 
 
 def normalise(

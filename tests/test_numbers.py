@@ -62,11 +62,20 @@ def test_percentages(rows):
     assert [r.p for r in out] == [150.0, 0.0, 0.0, 0.0]
 
 
-def test_scale_bounds_the_rounding(rows):
-    frame = rows("x double", *[(0.4,)] * 10)
-    assert frame.agg(exact_sum("x", scale=0).alias("s")).head().s == 0.0
-    assert frame.agg(exact_sum("x", scale=1).alias("s")).head().s == 4.0
-    assert frame.agg(exact_sum("x + x", scale=2).alias("s")).head().s == 8.0
+def test_sums_drop_nothing_in_any_partitioning(spark):
+    for value, n in ((1e-7, 1_000_000), (1.23456789, 1000), (9e12, 3_000_000), (0.4, 10), (-3e-9, 1000), (9.3e12, 100)):
+        frame = spark.range(n).select(F.lit(value).alias("x"))
+        sums = {_sum(frame.repartition(k)) for k in (1, 7)}
+        assert len(sums) == 1 and math.isclose(sums.pop(), value * n, rel_tol=1e-12)
+        mean = frame.agg(exact_mean("x").alias("m")).head().m
+        assert math.isclose(mean, value, rel_tol=1e-12)
+
+
+def test_text_that_only_a_lax_cast_reads_is_missing(rows):
+    frame = rows("t string", *[(t,) for t in ("5d", "1f", "0x1", "1e3", " 7 ", "-.5", "+2.", "1_0", "Infinity", "")])
+    assert [r.v for r in frame.select(number(frame, "t").alias("v")).collect()] == [
+        None, None, None, 1000.0, 7.0, -0.5, 2.0, None, math.inf, None
+    ]
 
 
 def test_names_and_texts_are_quoted(rows):

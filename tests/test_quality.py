@@ -91,12 +91,11 @@ def test_column_names_match_in_any_case(rows):
         quality.label_sets(frame, [quality.Rule("r", "error", "is_not_null", "cpi")])
 
 
-def test_unknown_functions_and_oversized_catalogues_are_refused(rows, spark, monkeypatch):
+def test_unknown_functions_and_oversized_catalogues_are_refused(rows, spark):
     with pytest.raises(ValueError):
         quality.label_sets(rows("x int", (1,)), [quality.Rule("r", "error", "is_odd", "x")])
-    monkeypatch.setattr(quality, "MAX_RULES", 3)
     with pytest.raises(ValueError):
-        quality.read_rules(quality.sales_catalogue(spark))
+        quality.read_rules(quality.sales_catalogue(spark), at_most=3)
 
 
 def test_without_rules_or_errors_everything_is_valid(rows):
@@ -178,3 +177,45 @@ def test_examples_are_the_first_by_id_with_present_columns(spark):
     out = quality.quarantine_examples(frame)
     assert out.columns == ["id", "store"]
     assert [r.id for r in out.collect()] == list(range(1, 81))
+
+
+def test_rules_that_would_lose_issues_are_refused_by_name(rows):
+    for level in ("ERROR", None):
+        rule = quality.Rule("odd", level, "is_not_null", "a")
+        with pytest.raises(ValueError, match="odd"):
+            quality.label_sets(rows("a int", (None,)), [rule])
+    broken = rows("name string, criticality string, check string", ("bad", "error", "no json"))
+    with pytest.raises(ValueError, match="bad"):
+        quality.read_rules(broken)
+
+
+def test_whole_numbers_are_compared_exactly(rows):
+    table = rows("a bigint", (9007199254740993,), (9007199254740992,))
+    listed = quality.Rule("r", "error", "is_in_list", "a", allowed=("9007199254740992",))
+    assert sorted(r.set for r in quality.label_sets(table, [listed]).collect()) == ["Quarantine", "Valid"]
+    bound = quality.Rule("r", "error", "is_in_range", "a", min_limit=0, max_limit=9007199254740992)
+    assert sorted(r.set for r in quality.label_sets(table, [bound]).collect()) == ["Quarantine", "Valid"]
+    half = quality.Rule("r", "error", "is_in_range", "a", min_limit=0.5)
+    assert {r.set for r in quality.label_sets(table, [half]).collect()} == {"Valid"}
+
+
+def test_a_catalogue_table_with_filters_drives_the_evaluation(rows):
+    check = '{"function": "is_not_null", "arguments": {"column": "a"}}'
+    checks = rows(
+        "name string, criticality string, check string, filter string, run_config_name string",
+        ("a_null", "error", check, "b > 1", "default"), ("a_warn", "warn", check, None, "default"),
+    )
+    table = rows("a int, b int", (None, 1), (None, 2), (5, 2))
+    found = quality.with_rule_names(
+        quality.label_sets(table, quality.read_rules(checks)), {"__errors": "e", "__warnings": "w"}
+    )
+    assert sorted((r.b, r.set, r.e, r.w) for r in found.collect() if r.a is None) == [
+        (1, "Quarantine", [], ["a_warn"]), (2, "Quarantine", ["a_null"], ["a_warn"])
+    ]
+
+
+def test_logs_that_are_no_json_by_the_letter_are_skipped(rows):
+    good = '{"items":[{"name":"a"}]}'
+    logs = [good, good + " ", good + " xyz", good + good, good + "," + good, good.replace('"', "'"), "", "[" + good + "]"]
+    table = rows("log string", *[(t,) for t in logs])
+    assert [tuple(r) for r in quality.rule_hits(table, "log").collect()] == [("a", 2)]

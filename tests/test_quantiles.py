@@ -81,4 +81,23 @@ def test_the_column_is_scanned_three_times_and_never_gathered(spark, tmp_path):
     found = quantiles(spark.read.parquet(path), F.col("x"), [0.33, 0.66])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 3
-    assert "percentile" not in plan and "collect_" not in plan and "ReadSchema: struct<x:double>" in plan
+    assert "percentile(" not in plan and "collect_" not in plan and "ReadSchema: struct<x:double>" in plan
+
+
+def test_heavy_tails_are_divided_by_rows(spark, monkeypatch):
+    from tallyhouse.functions import quantiles as module
+
+    seen = []
+    running = module._running
+
+    def spy(counts, keys, order):
+        if order == "x":
+            seen.append(counts.groupBy(*keys).count().agg(F.max("count")).head()[0])
+        return running(counts, keys, order)
+
+    monkeypatch.setattr(module, "_running", spy)
+    values = np.random.default_rng(5).random(50_000) ** 40
+    frame = spark.createDataFrame([(float(v),) for v in values], "x double")
+    found = quantiles(frame, F.col("x"), [0.33, 0.66]).head()
+    np.testing.assert_allclose(found.q, np.quantile(values, [0.33, 0.66]), rtol=1e-14)
+    assert seen and seen[0] <= 50_000 / 25

@@ -14,8 +14,8 @@ from tests.conftest import TESTDATA
 from tests.oracle import compare, connect
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {k: v for k, v in entry.queries().items() if k not in entry.LLM_QUERIES}
+ORACLES = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
