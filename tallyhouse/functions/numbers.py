@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _PART_BITS = 20
 REST_SCALE = 15
+_NOISE = "4.5E-16D"  # two units in the last place of a double
 # Text that is a number; a cast alone would also take 5d, 1f and the like.
 _NUMERAL = r"^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf(inity)?|nan)\\s*$"
 
@@ -66,7 +67,8 @@ def exact_sum(value: str, scale: int = 6) -> Column:
 
     Every value is a whole number of units of ``scale`` decimals and a rest. The units are
     added as BIGINT parts, the rests (0 for money) as units of ``REST_SCALE`` decimals and
-    what remains below those as doubles, so nothing is lost. Values too large for BIGINT
+    what remains below those as doubles, so nothing is lost; a rest within two units in the
+    last place of its value is how a decimal is written in binary, and counts as 0. Values too large for BIGINT
     units are added as DECIMAL, and those too large for that (1e32 and more, infinity) as
     doubles. None of the sums can overflow with an error.
     """
@@ -100,6 +102,7 @@ def sum_sql(value: str, scale: int = 6) -> str:
     whole = f"(({high} * {2**_PART_BITS}BD + {middle}) * {2**_PART_BITS}BD + {low})"
     exact = f"CAST({whole} * {10**-scale:.{scale}f}BD AS DOUBLE)"
     rest = f"({value} - CAST({units} AS DOUBLE) / {step})"
+    rest = f"(CASE WHEN abs({rest}) > abs({value}) * {_NOISE} THEN {rest} ELSE 0D END)"
     rest_step = f"{float(10**REST_SCALE)!r}D"
     rest_units = f"CAST(rint({rest} * {rest_step}) AS BIGINT)"
     small = f"CAST(sum({rest_units}) AS DOUBLE) / {rest_step}"
