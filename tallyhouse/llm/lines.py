@@ -35,7 +35,7 @@ def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def line_shingles(line: Column, chars: int = SHINGLE_CHARS) -> Column:
     """Sorted hashes of the distinct shingles of a line: ``chars`` characters from each word start."""
-    starts = f"(?s)(?<![^{SPACE}])(?=([^{SPACE}].{{0,{chars - 1}}}))"
+    starts = f"(?s)(?=([^{SPACE}].{{0,{chars - 1}}}))[^{SPACE}]++"  # looks ahead, then passes the word
     found = F.regexp_extract_all(line, F.lit(starts), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
