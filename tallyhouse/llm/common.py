@@ -111,8 +111,18 @@ def _state(stars: DataFrame):
     return stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")).head()
 
 
+def _hung_on_lowest(links: DataFrame) -> DataFrame:
+    """Links of the same components as ``(a, b)``, about one per ``b``.
+
+    Every ``b``, with its few smaller neighbours ``a``, is hung on the smallest of them.
+    """
+    near = links.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("near"))
+    hung = F.transform("near", lambda a: F.when(a == F.col("m"), F.col("b")).otherwise(a))
+    return near.select(F.col("m").alias("a"), F.explode(hung).alias("b")).distinct()
+
+
 def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFrame:
-    """All links ``(a, b)`` among ids that share a key, without pairing whole groups.
+    """Pairs ``(a, b)`` whose components are those of all links among ids that share a key.
 
     ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, keys, ...)``
     for each of the ids asked for, ``keys`` being all its keys. ``plausible(a, b)`` is a
@@ -121,11 +131,12 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
 
     First every id is compared with the smallest ids of its groups, at most ``LEADERS`` of
     them, which connects most groups of copies with a few pairs per member. The rest is
-    exact: ids that still lie in
-    different components although they share a key are compared with each other;
-    ``plausible`` is part of that join's condition, so pairs it refuses never become rows,
-    and a pair is met at its smallest common key alone. No group is capped: every pair that
-    shares a key is verified, refused or already connected.
+    exact: ids that still lie in different components although they share a key are
+    compared with each other; ``plausible`` is part of that join's condition, so pairs it
+    refuses never become rows, and a pair is met at its smallest common key alone. No group
+    is capped: every pair that shares a key is verified, refused or already connected. What
+    is returned is one pair per id connected in the first step, with its root, and the links
+    of the second.
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
     groups = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
@@ -152,8 +163,9 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
         .distinct()
     )
     tried = cut(tried)
-    first = cut(verify(tried)) if verify else tried
-    rooted = shared.select("key", "id").join(components(first), "id", "left")
+    roots = components(_hung_on_lowest(verify(tried) if verify else tried))
+    first = roots.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    rooted = shared.select("key", "id").join(roots, "id", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = cut(rooted.join(mixed.filter("lo <> hi").select("key"), "key"))
