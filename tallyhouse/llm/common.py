@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 LEADERS = 12
+DRAWS = 2
 
 
 def text_of(column: str = "text") -> Column:
@@ -70,45 +71,43 @@ def cut(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(id, root)``, root the smallest id.
 
-    Distributed union-find by alternating stars: every node's larger neighbours are hung on
-    the smallest node it knows, then its smaller ones, until nothing changes. That takes a
-    logarithmic number of rounds; a round is two joins, whose hot nodes are plain skewed
-    keys. The driver sees one row a round: the number of links and their checksum. A NULL
-    end is no node, and a node without a link to another has no row.
+    Distributed union-find by contraction: every node moves to the first of itself and its
+    neighbours, links follow their ends, and those that have become loops go, so finished
+    components take no further part. The first round orders nodes by id, which closes stars
+    around small ids at once; later rounds order them by a hash that differs from round to
+    round, so even a long chain shrinks by a constant factor each time and there are
+    logarithmically many rounds. A round is a grouping and two joins, whose hot nodes are
+    plain skewed keys; the driver learns only whether links are left. A NULL end is no node,
+    and a node without a link to another has no row.
     """
-    ends = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
-    stars = cut(
-        links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*ends).distinct()
-    )
-    state = _state(stars)
-    while state.n:
-        both = stars.union(stars.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(lowest, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(lowest, "u").select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                    F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                )
-            )
-        )
-        stars = cut(hung.filter("u <> v").distinct())
-        before, state = state, _state(stars)
-        if before == state:
-            break
-    roots = stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
-
-
-def _state(stars: DataFrame):
-    return stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")).head()
+    known = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    left, moves = _contracted(known, [F.col("a"), F.col("b")]), []
+    while not moves or not left.isEmpty():
+        turn = len(moves)
+
+        def place(node: str) -> Column:
+            return F.xxhash64(F.lit(turn), node) if turn else F.col(node)
+
+        both = left.union(left.select("b", "a"))
+        first = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", place("b")).alias("near"))
+        ahead = place("near") < place("id")
+        moves.append(cut(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root"))))
+        a, b = (moves[-1].select(F.col("id").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
+        left = _contracted(left.join(a, "a").join(b, "b"), [F.col("a_root"), F.col("b_root")])
+    found = moves.pop()
+    while moves:
+        # The smallest id of a component stays in place in the first round: later nodes hold it.
+        if len(moves) == 1:
+            smallest = found.groupBy("root").agg(F.min("id").alias("low"))
+            found = found.join(smallest, "root").select("id", F.col("low").alias("root"))
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("final"))
+        found = moves.pop().join(later, "root", "left").select("id", F.coalesce("final", "root").alias("root"))
+    return found
+
+
+def _contracted(links: DataFrame, ends: list[Column]) -> DataFrame:
+    ordered = links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
+    return cut(ordered.filter("a <> b").distinct())
 
 
 def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFrame:
@@ -120,8 +119,10 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
     pairs ``(a, b)`` and keeps the true links (without it, ``plausible`` is the truth).
 
     First every id is compared with the smallest ids of its groups, at most ``LEADERS`` of
-    them, which connects most groups of copies with a few pairs per member. The rest is
-    exact: ids that still lie in
+    them, which connects most groups of copies with a few pairs per member. Then, ``DRAWS``
+    times, groups that still hold several components draw a member by hash, another one for
+    every key, and the rest is compared with it: a group whose smallest id is like few of the
+    others is connected through these. What is left is exact: ids that still lie in
     different components although they share a key are compared with each other;
     ``plausible`` is part of that join's condition, so pairs it refuses never become rows,
     and a pair is met at its smallest common key alone. No group is capped: every pair that
@@ -132,33 +133,44 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
     groups = groups.filter("lead <> last").select("key", "lead")
     shared = cut(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
     known = cut(features(shared.select("id").distinct()))
+    plain = known.drop("keys")
 
     def named(rows: DataFrame, side: str) -> DataFrame:
         return rows.select(
             [F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns]
         )
 
+    def compared(stars: DataFrame) -> DataFrame:
+        pairs = stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        both = pairs.join(named(plain, "a"), "a").join(named(plain, "b"), "b")
+        return cut(both.filter(plausible("a", "b")).select("a", "b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return cut(verify(pairs)) if verify else pairs
+
+    def still_apart(links: DataFrame) -> DataFrame:
+        rooted = shared.select("key", "id").join(cut(components(links)), "id", "left")
+        rooted = rooted.withColumn("root", F.coalesce("root", "id"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return cut(rooted.join(mixed.filter("lo <> hi").select("key"), "key"))
+
     leads = F.slice(F.sort_array(F.collect_set("lead")), 1, LEADERS)  # one per key at most
     stars = shared.groupBy("id").agg(leads.alias("leads")).select("id", F.explode("leads").alias("lead"))
-    stars = stars.filter("id <> lead")
-    plain = known.drop("keys")
-    tried = (
-        stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        .distinct()
-        .join(named(plain, "a"), "a")
-        .join(named(plain, "b"), "b")
-        .filter(plausible("a", "b"))
-        .select("a", "b")
-        .distinct()
-    )
-    tried = cut(tried)
-    first = cut(verify(tried)) if verify else tried
-    rooted = shared.select("key", "id").join(components(first), "id", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = cut(rooted.join(mixed.filter("lo <> hi").select("key"), "key"))
+    tried = compared(stars.filter("id <> lead"))
+    links = confirmed(tried)
+    mixed = still_apart(links)
+    for draw in range(DRAWS):
+        if mixed.isEmpty():
+            return links
+        order = F.xxhash64(F.lit(draw), "key", "id")
+        drawn = mixed.groupBy("key").agg(
+            F.min_by("id", order).alias("lead"), F.min_by("root", order).alias("lead_root")
+        )
+        more = compared(mixed.join(drawn, "key").filter("root <> lead_root").select("id", "lead"))
+        tried, links = tried.union(more), links.union(confirmed(more))
+        mixed = still_apart(links)
     if mixed.isEmpty():
-        return first
+        return links
     full = mixed.join(known, "id")
     here = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
     apart = (
@@ -170,5 +182,4 @@ def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFr
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    apart = cut(apart)
-    return first.union(verify(apart) if verify else apart)
+    return links.union(confirmed(cut(apart)))
