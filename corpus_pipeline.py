@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that nearly equal an earlier one go, and documents of which no word is left."""
-    cleaned = lines.deduplicate_lines(docs)
+    cleaned = lines.deduplicate_lines(docs, every=True)
     counted = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return counted.filter(F.col("text").rlike(f"[^{SPACE}]"))
 

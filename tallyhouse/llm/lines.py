@@ -1,7 +1,7 @@
 """Fuzzy line removal: near-equal lines are found by MinHash and one of each group stays.
 
-A line's shingles are the ``SHINGLE_CHARS`` characters from each of its word starts. Their
-64-bit hashes in ascending order are a bottom-k MinHash sample; every two consecutive values
+A line's shingles are the ``SHINGLE_CHARS`` characters from every one of its positions, or, as
+a setting, from its word starts only. Their 64-bit hashes in ascending order are a bottom-k MinHash sample; every two consecutive values
 among the lowest are a band, and lines that share a band are compared by the exact Jaccard
 similarity of their whole shingle sets. Links are closed to components by distributed
 union-find, and the first line of each component in the order of documents stays.
@@ -33,10 +33,16 @@ def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.filter(F.col("line").rlike(f"[^{SPACE}]")).withColumn("h", F.xxhash64("line"))
 
 
-def line_shingles(line: Column, chars: int = SHINGLE_CHARS) -> Column:
-    """Sorted hashes of the distinct shingles of a line: ``chars`` characters from each word start."""
-    starts = f"(?s)(?=([^{SPACE}].{{0,{chars - 1}}}))[^{SPACE}]++"  # looks ahead, then passes the word
-    found = F.regexp_extract_all(line, F.lit(starts), F.lit(1))
+def line_shingles(line: Column, chars: int = SHINGLE_CHARS, every: bool = False) -> Column:
+    """Sorted hashes of the distinct shingles of a line: ``chars`` characters from each word start.
+
+    With ``every`` they are those from every position, and a shorter line is one shingle.
+    """
+    word = f"(?s)(?=([^{SPACE}].{{0,{chars - 1}}}))[^{SPACE}]++"  # looks ahead, then passes the word
+    position = f"(?s)(?=(.{{{chars}}}))."  # looks ahead, then passes one character
+    found = F.regexp_extract_all(line, F.lit(position if every else word), F.lit(1))
+    if every:
+        found = F.when(F.length(line) < chars, F.array(line)).otherwise(found)
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -51,15 +57,16 @@ def line_bands(shingles: Column, bands: int = BANDS) -> Column:
 
 def repeated_lines(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-    chars: int = SHINGLE_CHARS, bands: int = BANDS, percent: int = JACCARD_PERCENT,
+    chars: int = SHINGLE_CHARS, bands: int = BANDS, percent: int = JACCARD_PERCENT, every: bool = False,
 ) -> DataFrame:
     """``id``, ``copy`` and ``dropped``: the sorted numbers (from 0) of the lines to remove.
 
     Only documents that lose lines have a row; ``copy`` is the hash of the text. The first
     line of a group is the one of the smallest id (NULL before others), then ``copy``, then
     number; rows repeated whole are one document and keep the same lines. Lines without a
-    word and NULL texts take no part; an empty table gives no row. The whole of every line
-    is read, however long.
+    word and NULL texts take no part; an empty table gives no row. With ``every``, shingles
+    start at every character and the whole of every line is read, however long; without, a
+    word is read up to its ``chars``-th character.
 
     Copies of one line beyond a ten-thousandth of all lines are set aside before the bands
     (they are linked by being equal), so no line's copies pile up in one task. There can be
@@ -72,13 +79,13 @@ def repeated_lines(
     hot = counted.filter(F.col("n") * HOT_SHARE > total).select("h", "first")
     lines = _lines(docs, id_column, text).join(F.broadcast(hot), "h", "left")
     lines = lines.filter(F.col("first").isNull() | F.col("first").eqNullSafe(place))
-    keys = lines.select(F.col("h").alias("id"), line_shingles(F.col("line"), chars).alias("set"))
+    keys = lines.select(F.col("h").alias("id"), line_shingles(F.col("line"), chars, every).alias("set"))
     members = keys.select(F.explode(line_bands(F.col("set"), bands)).alias("key"), "id")
 
     def features(ids: DataFrame) -> DataFrame:
         wanted = _lines(docs, id_column, text).select(F.col("h").alias("id"), "line")
         texts = wanted.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        sets = texts.select("id", line_shingles(F.col("line"), chars).alias("set"))
+        sets = texts.select("id", line_shingles(F.col("line"), chars, every).alias("set"))
         return sets.withColumn("keys", line_bands(F.col("set"), bands))
 
     def alike(a: str, b: str) -> Column:

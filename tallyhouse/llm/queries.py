@@ -116,7 +116,7 @@ def op8_personal_data(spark, sf_dir):
 def op9_line_dedup(spark, sf_dir):
     """Lines of every document, and the numbers of those removed as near-equal to earlier ones."""
     docs = _table(spark, sf_dir, "documents")
-    dropped = lines.repeated_lines(docs).withColumnRenamed("id", "_id")
+    dropped = lines.repeated_lines(docs, every=True).withColumnRenamed("id", "_id")
     rows = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_copy"),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
