@@ -5,8 +5,9 @@ in repeated five-word windows, mean word length) go into quantile sketches per l
 source. A sketch counts values in buckets whose bounds grow by a fixed factor, so it has a
 fixed relative error, is a plain grouped count, merges by adding and does not depend on the
 order of the rows. The outer fences of each sketch are the thresholds, joined back to the
-documents. A group with few documents borrows the merged sketch of its language, and a
-language with few that of the whole corpus.
+documents. Every group that has quartiles uses its own sketch, whatever its size; one with
+fewer than four documents has none and takes the merged sketch of its language, and such a
+language that of the whole corpus.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ class Fences:
 
     A measure is out of bounds above ``q75 + reach * spread`` (mean word length also below
     ``q25 - reach * spread``), with ``spread = max(q75 - q25, least[measure])``. ``few`` is
-    the number of documents below which a group uses the next larger one's sketch, and
-    ``growth`` the factor between bucket bounds.
+    the number of documents below which a group has no quartiles and uses the next larger
+    one's sketch, and ``growth`` the factor between bucket bounds.
     """
 
     reach: float = 3.0
     least: dict = field(
         default_factory=lambda: {"symbols": 0.1, "lines": 0.1, "repeats": 0.05, "length": 1.0}
     )
-    few: int = 200
+    few: int = 4
     growth: float = 1.02
 
 
