@@ -33,7 +33,9 @@ SPANS = "array<struct<start:int,kind_rank:int,end:int,kind:string>>"
 CONTEXT = re.compile(
     r"(?i:secret|passw|passphrase|token|api_?key|private|credential|auth|bearer|signature|access)", re.ASCII
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE_LENGTH = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
+_OF_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]")
 # Words and identifiers that code and its comments are full of: what is not novel.
 IDENTIFIERS = """
 the of and to in is was for on with that this from http https www com org example localhost
@@ -56,10 +58,11 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcde
 
 @dataclass(frozen=True)
 class Novelty:
-    """Which candidates are reported: those in reach of a context word, with letters and
-    digits, whose marginal size is at least ``least`` bytes per character.
+    """Which candidates are reported: those in reach of a context word whose marginal size is
+    at least ``least`` bytes per character.
 
-    ``around`` is how many characters on each side serve as surroundings.
+    ``reach`` is how many characters may lie between the word and the string behind or before
+    it, less one; ``around`` is how many characters on each side serve as surroundings.
     """
 
     reach: int = 48
@@ -91,11 +94,8 @@ class Scanner:
         """Novel strings outside the spans found by pattern."""
         upto, at = 0, 0
         for context in contexts:
-            start = max(upto, context.end())
-            edge = context.end() + self.novelty.reach
-            while (m := CANDIDATE.search(text, start, edge)) is not None:
-                m = CANDIDATE.match(text, m.start())  # the whole run, also beyond the edge
-                start = upto = m.end()
+            for m in self._near(text, context, upto):
+                upto = m.end()
                 while at < len(covered) and covered[at][1] <= m.start():
                     at += 1
                 if at < len(covered) and covered[at][0] < m.end():
@@ -103,11 +103,20 @@ class Scanner:
                 if self.is_novel(text, m.start(), m.end()):
                     yield m.span()
 
+    def _near(self, text: str, context: re.Match, upto: int) -> Iterator[re.Match]:
+        """Candidates from ``upto`` on that end or start in reach of a context word, in order."""
+        start = max(upto, context.start() - self.novelty.reach)
+        while start > upto and _OF_CANDIDATE.match(text, start - 1):  # the whole run
+            start -= 1
+        yield from CANDIDATE.finditer(text, start, max(start, context.start()))
+        start, edge = max(upto, context.end()), context.end() + self.novelty.reach
+        while (m := CANDIDATE.search(text, start, edge + CANDIDATE_LENGTH - 1)) is not None:
+            m = CANDIDATE.match(text, m.start())  # the whole run, also beyond the edge
+            start = m.end()
+            yield m
+
     def is_novel(self, text: str, start: int, end: int) -> bool:
-        value = text[start:end]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            return False
-        return self.marginal(text, start, end) >= self.novelty.least * len(value)
+        return self.marginal(text, start, end) >= self.novelty.least * (end - start)
 
     def marginal(self, text: str, start: int, end: int) -> int:
         """Bytes by which the compressed surroundings grow when the candidate is put in."""
