@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as
 Parquet and reads again as the next stage's documents. All but the last keep the columns
-of ``documents``.
+of ``documents``; the mixture adds ``mix_position``, by which the last packs.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mixture."""
-    return mixing.in_mixture_order(docs, TARGETS)
+    """All documents, stored in the order of the mixture, with their places in it."""
+    return mixing.in_mixture_order(docs, TARGETS, position="mix_position")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequence and place of every piece."""
-    return packing.pack_documents(docs, public_tokenizers.path(PACK_TOKENIZER))
+    """The sequence and place of every piece; sequences in their order follow the mixture."""
+    return packing.pack_documents(docs, public_tokenizers.path(PACK_TOKENIZER), order="mix_position")
 
 
 STAGES = [

@@ -136,13 +136,17 @@ def mix(
     )
 
 
-def in_mixture_order(docs: DataFrame, weights: Mapping[str, int], id_column: str = "doc_id", **settings) -> DataFrame:
+def in_mixture_order(
+    docs: DataFrame, weights: Mapping[str, int], id_column: str = "doc_id", position: str | None = None, **settings
+) -> DataFrame:
     """All rows with their own columns, range-partitioned and sorted by place in the mixture.
 
-    Written files, read in their order, are the mixture. Rows that share an id stand together.
+    Written files, read in their order, are the mixture; ``position`` names a column to be
+    added with the place, for readers that keep no order. Rows that share an id stand together.
     """
     places = mix(docs, weights, id_column=id_column, **settings).groupBy("id").agg(
         F.min("position").alias("_mix_position")
     )
     joined = docs.join(places, docs[id_column].eqNullSafe(places["id"])).drop(places["id"])
-    return joined.orderBy("_mix_position").select(*docs.columns)
+    added = [F.col("_mix_position").alias(position)] if position else []
+    return joined.orderBy("_mix_position").select(*docs.columns, *added)

@@ -4,7 +4,8 @@ Sum-of-squares packing puts each piece where the squared counts of open sequence
 residual gap become smallest: an exact fit closes a sequence, a gap that many sequences
 already have is avoided, and a new sequence is opened only where that costs less. Pieces
 come longest first. Packing is done in independent groups of about ``GROUP_PIECES`` pieces
-dealt by hash, so no task holds more; a group ends with a few part-filled sequences, which
+dealt by hash, so no task holds more, or in consecutive ranges of a given order, so that the
+sequences follow a mixture; a group ends with a few part-filled sequences, which
 is the price of not packing the whole table in one place.
 """
 
@@ -18,7 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import cut, map_texts, text_of
@@ -26,6 +27,8 @@ from tallyhouse.llm.common import cut, map_texts, text_of
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 65_536
+RANGE_PIECES = 4_096  # of a group that is a range of the mixture
+RANGE_STEP = 256  # positions that are counted together and stay in one range
 MAX_CACHED = 300_000
 # Letters with closing marks: the tokenizer makes one pre-token of each of the two.
 _PLAIN = re.compile(r"([^\W\d_A-Z]*)([.,;:!?|#$%&*]*)")
@@ -82,8 +85,8 @@ class WordIds(dict):
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text",
-               capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
+               capacity: int = CAPACITY, order: str | None = None) -> DataFrame:
+    """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, and ``order``.
 
     A document is its token ids and the end id; NULL and empty texts are the end id alone.
     Only documents longer than ``capacity`` are cut.
@@ -102,11 +105,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
 
         return lambda texts: [[pieces(text) for text in texts]]
 
-    rows = docs.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
+    kept = [F.col(id_column).alias("doc_id"), *([F.col(order)] if order else [])]
+    rows = docs.select(F.struct(*kept).alias("id"), text_of(text).alias("text"))
     found = map_texts(
         rows, make, "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
     )
-    return found.select(F.col("id").alias("doc_id"), F.inline("pieces"))
+    out = found.select("id", F.inline("pieces"))
+    return out.select("id.doc_id", "piece", "start", "length", "ids_crc32", *([f"id.{order}"] if order else []))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +140,42 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return sequence, offset
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def ranges(pieces: DataFrame, order: str, group_pieces: int, step: int) -> DataFrame:
+    """Adds ``_group``, numbers from 0 that rise with ``order``, of about ``group_pieces`` rows each.
+
+    Every ``step`` values of ``order`` are counted together, and these counts are added up in
+    one task. Only where one such step alone holds more than a group are its rows dealt by
+    ``_order`` among as many groups as they fill.
+    """
+    stepped = pieces.withColumn("_step", F.floor(F.col(order) / step))
+    sizes = stepped.groupBy("_step").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    sizes = sizes.select(F.col("_step").alias("_at"), "_n", F.floor(before / group_pieces).alias("_first"))
+    joined = stepped.join(sizes, stepped["_step"].eqNullSafe(sizes["_at"]))
+    part = F.pmod("_order", F.ceil(F.col("_n") / group_pieces))
+    return joined.withColumn("_group", F.col("_first") + part).drop("_step", "_at", "_n", "_first")
+
+
+def pack(
+    pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int | None = None,
+    order: str | None = None, step: int | None = None,
+) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table of pieces ``(doc_id, piece, length, ...)``.
 
-    The pieces are read twice, so pass a table or a ``cut`` one. An empty table gives no row.
+    With ``order``, a whole-number column that is left out of the result, groups are its
+    consecutive ranges: sequence numbers rise from range to range, and no sequence holds
+    pieces of two. The pieces are read twice, so pass a table or a ``cut`` one. An empty
+    table gives no row.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
     hashed = F.xxhash64("doc_id", "piece", "length")
-    dealt = pieces.withColumns({"_order": hashed, "_group": F.pmod(hashed, F.lit(groups))})
+    if order:
+        dealt = ranges(pieces.withColumn("_order", hashed), order, group_pieces or RANGE_PIECES, step or RANGE_STEP)
+        pieces = pieces.drop(order)
+        dealt = dealt.select(*pieces.columns, "_order", "_group")
+    else:
+        groups = max(1, -(-pieces.count() // (group_pieces or GROUP_PIECES)))
+        dealt = pieces.withColumns({"_order": hashed, "_group": F.pmod(hashed, F.lit(groups))})
 
     def place(table: pa.Table) -> pa.Table:
         base = table.column("_group")[0].as_py() * 2**32
@@ -160,6 +193,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return dealt.groupBy("_group").applyInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, order: str | None = None
+) -> DataFrame:
     """Every document in pieces, each with its sequence and place; repeated rows are packed each."""
-    return pack(cut(cut_pieces(docs, tokenizer_path, capacity=capacity)), capacity)
+    return pack(cut(cut_pieces(docs, tokenizer_path, capacity=capacity, order=order)), capacity, order=order)
