@@ -8,8 +8,8 @@ high similarity, and refuses candidates far below the threshold. What is left is
 on the full shingle sets. Equal sets are one candidate.
 
 Two documents of similarity 0.75 share none of 40 bands of five values with a chance of
-2 in 100,000. The sketch estimates their similarity with a standard error of 0.019, so it
-refuses one in 10,000 of such pairs, and far fewer of more similar ones.
+2 in 100,000. The sketch refuses 1 in 100,000 of such pairs (worked out exactly from the
+distribution of its odd bits, with a limit of 336 flips), and far fewer of more similar ones.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 HASHES = 600  # samples of the odd sketch; the bands are made of the first of them
 SKETCH_BITS = 2048
-REFUSED_BELOW = 0.68
+REFUSED_BELOW = 0.66
 CHUNK = 1 << 16
 MAX_CACHED = 500_000
 
