@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from tallyhouse.functions.lineage import checkpoint_folder, cut  # noqa: F401
+
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 LEADERS = 12
@@ -42,32 +43,6 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable], columns: str) -> Da
     return rows.mapInArrow(work, StructType([rows.schema["id"], *kinds.fields]))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
-
-    It is the session's ``spark.checkpoint.dir``. Only where none is set, in local runs and
-    tests, is a scratch folder taken; on a cluster that raises.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tallyhouse-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the checkpoint folder.
-
-    They survive lost executors, and the plan behind them is not run again.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(id, root)``, root the smallest id.
 

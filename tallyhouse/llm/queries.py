@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
-    chat, lines, mixing, neardup, neighbours, packing, pii, quality, secrets, tokens,
+    chat, lines, merkle, mixing, neardup, neighbours, packing, pii, quality, secrets, tokens,
 )
 
 QUERIES = {}
@@ -133,3 +135,15 @@ def op10_token_counts(spark, sf_dir):
     """Bytes and tokens of every document."""
     counts = tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_MODEL))
     return counts.withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, proof and roots of every document, checked against texts tampered with here and there."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = merkle.row_digest(columns)
+    checked = F.when(tampered, merkle.row_digest(columns, text=lowered)).otherwise(leaf)
+    return merkle.manifest(docs, leaf, "doc_id", "source", checked).withColumnRenamed("id", "doc_id")
