@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
-    chat, lines, merkle, mixing, neardup, neighbours, packing, pii, quality, secrets, tokens,
+    chat, lines, merkle, mixing, neardup, neighbours, packing, periodic, pii, quality, secrets, tokens,
 )
+from tallyhouse.llm.common import SPACE
 
 QUERIES = {}
 ORACLES = {}
@@ -137,6 +138,47 @@ def op10_token_counts(spark, sf_dir):
     return counts.withColumnRenamed("id", "doc_id")
 
 
+def _made_periodic(docs: DataFrame) -> Column:
+    """The text, in a tenth of the documents with its words repeated from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        first = (g % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+        places = F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        )
+        chosen = F.transform(places, lambda i: F.get(words, i))
+        return F.when(n > 0, F.array_join(chosen, " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"[^{SPACE}]+"), F.lit(0))
+    # As the only element of an array, the words are made once and not for every place.
+    changed = F.get(F.transform(F.array(words), repeated), 0)
+    return F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text"))
+
+
+@_query
+def op12_periodic_runs(spark, sf_dir):
+    """Repetitions in every document, and what is left without them."""
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs.select("doc_id", _made_periodic(docs).alias("text")))
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    )
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.p")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.s")).alias("start"),
+        length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @_query
 def op13_merkle_manifest(spark, sf_dir):
     """Leaf, proof and roots of every document, checked against texts tampered with here and there."""
