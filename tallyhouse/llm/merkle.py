@@ -252,12 +252,13 @@ def manifest(
         F.col(id_column).alias("id"), F.concat(F.lit("="), F.col(tree_column).cast("string")).alias("tree"),
         leaf.alias("digest"), (leaf if checked is None else checked).alias("checked"),
     ).withColumn("tree", F.coalesce("tree", F.lit("")))
+    given = cut(given)  # numbering reads its rows twice, and texts shall be read once
     leaves = cut(numbered(given, ["id", "digest"], ["tree"], place="index", total="total"))
     tiers = grow(leaves.select("tree", "index", "total", "digest"), height)
     subroots = tiers[-1].select("tree", F.col("root").alias("digest"))
     tops = cut(numbered(subroots, ["tree"], place="index", total="total"))
     forest = grow(tops.select(F.lit("").alias("tree"), "index", "total", "digest"), height)
-    start = rows.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(_STEP).alias("path"))
+    start = forest[-1].select("tree", F.array().cast(_STEP).alias("path"))
     lowest = _paths(forest, start, height)
     climbed = _handed_down(forest[0], lowest, height).select(F.col("block").alias("index"), "path")
     top = forest[-1].first()  # one digest, or none for an empty table
