@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
-    chat, lines, merkle, mixing, neardup, neighbours, packing, periodic, pii, quality, secrets, tokens,
+    chat, differencing, lines, merkle, mixing, neardup, neighbours, packing, periodic, pii, quality, secrets, tokens,
 )
 from tallyhouse.llm.common import SPACE
 
 QUERIES = {}
 ORACLES = {}
 PACK_TOKENIZER, COUNT_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+EQUAL_TOKENIZER = "byte_bpe_50k.json"
 # The mixture: the one large source gets a fifth of the slots, every other source an equal share.
 TARGETS = {"src0": 19, **{f"src{i}": 4 for i in range(1, 20)}}
 
@@ -138,6 +139,14 @@ def op10_token_counts(spark, sf_dir):
     return counts.withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op11_pack_near_equal(spark, sf_dir):
+    """The sequence and place of every piece of every document, in near-equal windows."""
+    docs = _table(spark, sf_dir, "documents")
+    packed = differencing.pack_near_equal(docs, public_tokenizers.path(EQUAL_TOKENIZER))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def _made_periodic(docs: DataFrame) -> Column:
     """The text, in a tenth of the documents with its words repeated from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))

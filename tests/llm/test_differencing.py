@@ -1,0 +1,142 @@
+"""Near-equal packing: ids, checksums and places against the tokenizer's own library."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from tallyhouse.llm import differencing, queries
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, id int, length string, start string, _group int"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_ids_are_those_of_the_library(tokenizer):
+    ids_of = differencing.byte_level_ids(PATH)
+    rng = random.Random(2)
+    odd = ["", " ", "a<|endoftext|>b <|endoftext|>", "it's we'LL 'S", "  x\n\n y \t z\r\n", "\x1c a \x85b", "!" * 999 + "\n" * 99]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x2FFF), 0x1F600, 10, 32])) for _ in range(300)) for _ in range(60)]
+    for text in odd:
+        assert ids_of(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_checksums_are_joined():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(40)), rng.randbytes(rng.randrange(40))
+        assert differencing.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def _plain_differencing(sizes, windows):
+    """Multiway differencing over full tuples, zeros and all; sums only, falling."""
+    parts = [((s,) + (0,) * (windows - 1), i) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[0][0] - p[0][-1]), p[1]))
+        (a, i), (b, _) = parts[:2]
+        merged = sorted((x + y for x, y in zip(a, b[::-1])), reverse=True)
+        parts = [(tuple(merged), i), *parts[2:]]
+    return list(parts[0][0])
+
+
+@pytest.mark.parametrize("windows", [1, 2, 3, 7, 30])
+def test_partitions_equal_plain_differencing(windows):
+    rng = random.Random(windows)
+    for n in (1, 2, 5, 20, 60):
+        sizes = [rng.randrange(1, 1000) for _ in range(n)]
+        found = differencing.difference(sizes, windows)
+        assert sorted(i for pieces in found for i in pieces) == list(range(n))
+        sums = sorted((sum(sizes[i] for i in pieces) for pieces in found), reverse=True)
+        assert sums + [0] * (windows - len(sums)) == _plain_differencing(sizes, windows)
+
+
+def test_windows_are_near_equal_and_within_the_capacity():
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 2048) for _ in range(600)]
+    sums = [sum(sizes[i] for i in pieces) for pieces in differencing.near_equal(sizes, 2048)]
+    assert max(sums) <= 2048 and sum(sums) == sum(sizes) and max(sums) - min(sums) < 400
+    assert len(sums) * 2048 < 1.06 * sum(sizes)
+    assert differencing.near_equal([], 2048) == [] and differencing.near_equal([2048] * 3, 2048) == [[0], [1], [2]]
+    odd = differencing.near_equal([1500] * 7, 2048)  # the count rises until one fits
+    assert sorted(map(len, odd)) == [1] * 7
+
+
+def _check(rows, found, tokenizer, capacity=2048):
+    """Every id once, right checksums, gapless sequences; returns the share of padding."""
+    ids = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        ids[doc_id].append(tokenizer.encode(text or "", add_special_tokens=False).ids + [1])
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in found:
+        pieces[r.doc_id, r.doc_tokens].append(r)
+        sequences[r.sequence_id].append(r)
+    for doc_id, texts in ids.items():
+        for known in {tuple(t) for t in texts}:
+            copies = sum(tuple(t) == known for t in texts)
+            mine = [r for r in pieces[doc_id, len(known)]]
+            same = [r for r in mine if r.ids_crc32 == zlib.crc32(np.array(known[r.start : r.start + r.length], "<u4").tobytes())]
+            covered = sum(r.length for r in same)
+            assert covered == copies * len(known) or len(texts) > copies, doc_id
+            if copies == 1 and len(texts) == 1:
+                at = 0
+                for r in sorted(mine, key=lambda r: r.start):
+                    assert r.start == at and r in same
+                    at += r.length
+    assert sum(r.length for r in found) == sum(len(t) for texts in ids.values() for t in texts)
+    padding = total = 0
+    for sequence in sequences.values():
+        at = 0
+        for r in sorted(sequence, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at <= capacity
+        total += at
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    return padding / max(1, total)
+
+
+def _query(spark, rows, folder):
+    frame = spark.createDataFrame([(*r, 1, "x", "y", 0) for r in rows], DOCS)
+    frame.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return queries.QUERIES["op11_pack_near_equal"](spark, str(folder)).collect()
+
+
+def test_the_registered_query_packs_every_id_without_padding(spark, tokenizer, tmp_path):
+    """NULL and empty texts, repeated rows and ids, a very long text, clashing names."""
+    rng = random.Random(6)
+    words = "lorem ipsum dolor sit amet consectetur adipiscing <|endoftext|> Übung 日本 elit's\n".split(" ")
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, rng.choice([40, 400, 3000]))))) for i in range(160)]
+    rows += [(200, None), (201, ""), (202, " "), (203, "word " * 30_000), (None, "no id"), (None, None)]
+    rows += [rows[0], rows[0], (7, "another text of that id")]
+    assert _check(rows, _query(spark, rows, tmp_path), tokenizer) == 0
+
+
+def test_copies_that_do_not_fit_together_are_cut_smaller(spark, tokenizer, tmp_path):
+    rows = [(i, "word " * 1499) for i in range(80)]
+    found = _query(spark, rows, tmp_path)
+    assert _check(rows, found, tokenizer) == 0
+    assert len({r.doc_id for r in found if r.length < r.doc_tokens}) > 60
+
+
+def test_few_rows_and_an_empty_table(spark, tokenizer, tmp_path):
+    rows = [(1, "a b c"), (2, None)]
+    assert len(_query(spark, rows, tmp_path / "few")) >= 2
+    assert _query(spark, [], tmp_path / "none") == []
+
+
+def test_groups_are_dealt_by_row(spark):
+    rows = [(5, "one and the same text", 1, "", "", 0)] * 300
+    found = differencing.pack_near_equal(spark.createDataFrame(rows, DOCS), PATH, group_docs=30).collect()
+    sizes = defaultdict(int)
+    for r in found:
+        sizes[r.sequence_id >> 32] += r.length
+    assert len(sizes) == 10 and max(sizes.values()) < 3 * sum(sizes.values()) / 10
