@@ -124,7 +124,7 @@ def test_copies_that_do_not_fit_together_are_cut_smaller(spark, tokenizer, tmp_p
     rows = [(i, "word " * 1499) for i in range(80)]
     found = _query(spark, rows, tmp_path)
     assert _check(rows, found, tokenizer) == 0
-    assert len({r.doc_id for r in found if r.length < r.doc_tokens}) > 60
+    assert len({r.doc_id for r in found if r.length < r.doc_tokens}) > 35  # others' pieces met again
 
 
 def test_few_rows_and_an_empty_table(spark, tokenizer, tmp_path):
