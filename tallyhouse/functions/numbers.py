@@ -1,11 +1,9 @@
 """Number columns: coercion, order-independent sums and means, percent change.
 
 Double addition depends on the order of the rows, so two runs of one query (or one
-run with a lost executor) may differ in the last digits. A decimal sum is exact but
-costs about six times as much per row, because every value becomes a BigDecimal.
-``exact_sum`` instead adds whole units as BIGINT parts and the rest of each value next to
-them. That stays in codegen and gives the same result in any order for values that are
-whole numbers of 1e-15 and below 1e32.
+run with a lost executor) may differ in the last digits, and a decimal sum turns every value
+into a BigDecimal. ``exact_sum`` adds whole millionths as two BIGINT parts instead, which
+stays in codegen, and only what a value has beside its millionths as a decimal.
 """
 
 from __future__ import annotations
@@ -13,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PART_BITS = 20
-REST_SCALE = 15
-_NOISE = "4.5E-16D"  # two units in the last place of a double
+_STEP = "1E6D"  # units of a millionth
+_UNITS_BELOW = "9007199254.740992D"  # 2^53 millionths: units are exact as doubles below
+_LOW_BITS = 26
+_REST_BITS = 82  # half a millionth in units of 2^-82 fits a BIGINT
+_DECIMAL_BELOW = "1E22D"
 # Text that is a number; a cast alone would also take 5d, 1f and the like.
 _NUMERAL = r"^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf(inity)?|nan)\\s*$"
 
@@ -62,59 +62,49 @@ def known(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def exact_sum(value: str, scale: int = 6) -> Column:
+def exact_sum(value: str) -> Column:
     """Aggregate: sum of a DOUBLE expression (SQL text), 0 for no rows, NULL and NaN skipped.
 
-    Every value is a whole number of units of ``scale`` decimals and a rest. The units are
-    added as BIGINT parts, the rests (0 for money) as units of ``REST_SCALE`` decimals and
-    what remains below those as doubles, so nothing is lost; a rest within two units in the
-    last place of its value is how a decimal is written in binary, and counts as 0. Values too large for BIGINT
-    units are added as DECIMAL, and those too large for that (1e32 and more, infinity) as
-    doubles. None of the sums can overflow with an error.
+    A value below 2^53 millionths is a whole number of millionths and a rest. The rest is
+    the exact difference to the double nearest to those millionths, so it is 0 for every
+    value that is a decimal of six places or fewer, which thus counts as that decimal (0.1
+    as one tenth); other values count as the binary numbers they are. Millionths are
+    added as BIGINT parts, rests as whole numbers of 2^-82, values from there up to 1e22 as
+    decimals of six places: all three sums are exact in any order, for 2^36 rows of the
+    largest values and more of smaller ones. Each is rounded once and then they are added. Only
+    what lies outside (values of 1e22 and more, infinity, and digits below 2^-82 of
+    values below 2^-30) is added as doubles.
     """
-    return F.expr(sum_sql(value, scale))
+    return F.expr(sum_sql(value))
 
 
-def exact_mean(value: str, scale: int = 6) -> Column:
+def exact_mean(value: str) -> Column:
     """Aggregate: mean of a DOUBLE expression (SQL text), NULL for no values."""
-    return F.expr(mean_sql(value, scale))
+    return F.expr(mean_sql(value))
 
 
-def mean_sql(value: str, scale: int = 6) -> str:
+def mean_sql(value: str) -> str:
     """``exact_mean`` as SQL text."""
     counted = f"count(CASE WHEN NOT isnan({value}) THEN {value} END)"
-    return f"try_divide({sum_sql(value, scale)}, {counted})"
+    return f"try_divide({sum_sql(value)}, {counted})"
 
 
-def sum_sql(value: str, scale: int = 6) -> str:
+def sum_sql(value: str) -> str:
     """``exact_sum`` as SQL text."""
     value = f"({value})"
-    step = f"{float(10**scale)!r}D"
-    units = f"try_cast(rint({value} * {step}) AS BIGINT)"
-    # Three parts of at most 23, 20 and 20 bits: 2^40 rows and more fit a BIGINT sum.
-    mask = 2**_PART_BITS - 1
-    parts = [
-        f"shiftright({units}, {2 * _PART_BITS})",
-        f"(shiftright({units}, {_PART_BITS}) & {mask})",
-        f"({units} & {mask})",
-    ]
-    high, middle, low = (f"CAST(sum({part}) AS DECIMAL(20,0))" for part in parts)
-    whole = f"(({high} * {2**_PART_BITS}BD + {middle}) * {2**_PART_BITS}BD + {low})"
-    exact = f"CAST({whole} * {10**-scale:.{scale}f}BD AS DOUBLE)"
-    rest = f"({value} - CAST({units} AS DOUBLE) / {step})"
-    rest = f"(CASE WHEN abs({rest}) > abs({value}) * {_NOISE} THEN {rest} ELSE 0D END)"
-    rest_step = f"{float(10**REST_SCALE)!r}D"
-    rest_units = f"CAST(rint({rest} * {rest_step}) AS BIGINT)"
-    small = f"CAST(sum({rest_units}) AS DOUBLE) / {rest_step}"
-    smallest = f"sum({rest} - CAST({rest_units} AS DOUBLE) / {rest_step})"
-    large = f"CASE WHEN {units} IS NULL AND NOT isnan({value}) THEN {value} END"
-    as_decimal = f"try_cast({large} AS DECIMAL(38,6))"
-    wide = f"CAST(try_sum({as_decimal}) AS DOUBLE)"
-    huge = f"sum(CASE WHEN {as_decimal} IS NULL THEN {large} END)"
-    # If even the DECIMAL sum is too large, the large values are added as doubles.
-    beyond = f"CASE WHEN count({as_decimal}) > 0 THEN coalesce({wide}, sum({large})) END"
-    sums = (exact, small, smallest, beyond, f"CASE WHEN {wide} IS NOT NULL OR count({as_decimal}) = 0 THEN {huge} END")
-    return "(" + " + ".join(f"coalesce({s}, 0D)" for s in sums) + ")"
+    size = f"abs({value})"
+    units = f"CASE WHEN {size} < {_UNITS_BELOW} THEN CAST(rint({value} * {_STEP}) AS BIGINT) END"
+    high, low = f"shiftright({units}, {_LOW_BITS})", f"(({units}) & {2**_LOW_BITS - 1})"
+    high, low = (f"CAST(sum({part}) AS DECIMAL(20,0))" for part in (high, low))
+    millionths = f"CAST(({high} * {2**_LOW_BITS}BD + {low}) * 0.000001BD AS DOUBLE)"
+    power = f"{2.0**_REST_BITS!r}D"
+    rest = f"({value} - CAST({units} AS DOUBLE) / {_STEP}) * {power}"
+    whole = f"CASE WHEN {rest} <> 0D THEN CAST(floor({rest}) AS DECIMAL(20,0)) END"
+    rests = f"CAST(sum({whole}) AS DOUBLE) / {power}"
+    decimal = f"CASE WHEN {size} >= {_UNITS_BELOW} AND {size} < {_DECIMAL_BELOW} THEN CAST({value} AS DECIMAL(28,6)) END"
+    decimals = f"CAST(sum({decimal}) AS DOUBLE)"
+    outside = f"CASE WHEN {size} < {_UNITS_BELOW} THEN ({rest} - floor({rest})) / {power} WHEN {size} >= {_DECIMAL_BELOW} AND NOT isnan({value}) THEN {value} END"
+    return "(" + " + ".join(f"coalesce({s}, 0D)" for s in (millionths, rests, decimals, f"sum({outside})")) + ")"
 
 
 def percent_change(current: Column, previous: Column) -> Column:

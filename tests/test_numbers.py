@@ -1,6 +1,7 @@
 import math
 import random
 from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,37 @@ def test_names_and_texts_are_quoted(rows):
     frame = rows("`a ``b` double, s string", (2.5, "it's \\ fine"))
     assert frame.agg(exact_sum(identifier("a `b")).alias("x")).head().x == 2.5
     assert frame.filter(F.expr(f"s = {literal(chr(105) + 't' + chr(39) + 's ' + chr(92) + ' fine')}")).count() == 1
+
+
+def _counted(value):
+    """What a double counts as: its millionths if it is the double nearest to them, else itself."""
+    near = Fraction(round(Fraction(value) * 10**6), 10**6)
+    return near if float(near) == value else Fraction(value)
+
+
+def test_sums_are_exact_for_decimals_and_for_binary_numbers(spark):
+    rng = random.Random(12)
+    kinds = {
+        "cents": [round(rng.uniform(-1e6, 1e6), 2) for _ in range(3000)],
+        "millionths": [round(rng.uniform(0, 9e9), 6) for _ in range(3000)],
+        "floats": [rng.uniform(-1, 1) * 2.0 ** rng.randrange(-10, 30) for _ in range(3000)],
+        "cancelling": [v for _ in range(500) for x in [rng.uniform(0, 1e9)] for v in (x, -x)] + [1e-9],
+        "one unit in the last place": [1000000000.00000012] * 2000,
+    }
+    for name, values in kinds.items():
+        frame = spark.createDataFrame([(v,) for v in values], "x double")
+        found = {_sum(frame.repartition(k)) for k in (1, 7)}
+        assert len(found) == 1, name
+        expected = sum(map(_counted, values))
+        parts = [f for f in map(_counted, values) if f.denominator & (f.denominator - 1) == 0 and 10**6 % f.denominator]
+        if not parts:  # nothing but decimals: rounded once
+            assert found == {float(expected)}, name
+        assert abs(Fraction(found.pop()) - expected) <= Fraction(math.ulp(float(expected))), name
+        assert name == "cents" or name == "millionths" or abs(float(expected) - math.fsum(values)) <= 2 * math.ulp(math.fsum(values))
+
+
+def test_a_mean_of_equal_values_is_that_value(spark):
+    for value in (1000000000.00000012, 0.1, 123.456789, 2.0**52 + 1, 9e9 + 0.25, 3e15, 1 / 3, 8e-7):
+        frame = spark.range(100_000).select(F.lit(value).alias("x"))
+        found = frame.agg(exact_mean("x").alias("m")).head().m
+        assert abs(found - value) <= (0 if value != 1 / 3 else math.ulp(value))  # a sum is rounded before it is divided

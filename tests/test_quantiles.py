@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import quantiles as module
 from tallyhouse.functions.quantiles import quantiles
 
 PROBS = (0.0, 1 / 3, 0.33, 0.5, 0.66, 2 / 3, 0.999, 1.0)
@@ -26,8 +27,11 @@ def _shapes():
     }
 
 
-@pytest.mark.parametrize("refinements", [0, 1, 2])
-def test_every_shape_equals_brute_force(spark, refinements):
+@pytest.mark.parametrize("last, parts", [(250_000, 4096), (1, 512)])
+def test_every_shape_equals_brute_force(spark, monkeypatch, last, parts):
+    """Without a pass, and narrowed to single values by several."""
+    monkeypatch.setattr(module, "LAST_ROWS", last)
+    monkeypatch.setattr(module, "PARTS", parts)
     shapes = _shapes()
     data = [(name, v) for name, values in shapes.items() for v in values]
     data += [("hot third", None), ("two", float("nan")), ("not asked for", 1.0), (None, 2.0)]
@@ -35,9 +39,7 @@ def test_every_shape_equals_brute_force(spark, refinements):
     frame = spark.createDataFrame(data, "g string, x double").repartition(8)
     found = {
         r.g: r
-        for r in quantiles(
-            frame, F.col("x"), PROBS, "g", [*shapes, "no rows"], refinements=refinements
-        ).collect()
+        for r in quantiles(frame, F.col("x"), PROBS, "g", [*shapes, "no rows"]).collect()
     }
     assert set(found) == set(shapes)
     for name, values in shapes.items():
@@ -75,29 +77,39 @@ def test_accuracy_gives_elements_near_the_quantile(spark):
     assert abs(found.q[0] - 3300) <= 2 and abs(found.q[1] - 6600) <= 2
 
 
-def test_the_column_is_scanned_three_times_and_never_gathered(spark, tmp_path):
+def test_the_last_scan_reads_one_column_within_the_cells(spark, tmp_path):
     path = str(tmp_path / "x")
     spark.range(1000).select(F.rand(1).alias("x"), F.rand(2).alias("y")).write.parquet(path)
     found = quantiles(spark.read.parquet(path), F.col("x"), [0.33, 0.66])
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 3
+    assert plan.count("FileScan parquet") == 1 and "GreaterThanOrEqual(x," in plan
     assert "percentile(" not in plan and "collect_" not in plan and "ReadSchema: struct<x:double>" in plan
 
 
-def test_heavy_tails_are_divided_by_rows(spark, monkeypatch):
-    from tallyhouse.functions import quantiles as module
-
-    seen = []
-    running = module._running
-
-    def spy(counts, keys, order):
-        if order == "x":
-            seen.append(counts.groupBy(*keys).count().agg(F.max("count")).head()[0])
-        return running(counts, keys, order)
-
-    monkeypatch.setattr(module, "_running", spy)
-    values = np.random.default_rng(5).random(50_000) ** 40
-    frame = spark.createDataFrame([(float(v),) for v in values], "x double")
-    found = quantiles(frame, F.col("x"), [0.33, 0.66]).head()
-    np.testing.assert_allclose(found.q, np.quantile(values, [0.33, 0.66]), rtol=1e-14)
-    assert seen and seen[0] <= 50_000 / 25
+def _last_window(frame, probabilities):
+    """Rows of the largest window of distinct values that is sorted in the end."""
+    coarse = module._gridded(frame.select(F.lit(1).alias("g"), "x"))
+    cells = module.narrowed(coarse, probabilities)
+    return module._inside(coarse, cells).groupBy("g", "c", "lo").agg(F.countDistinct("x").alias("n")).agg(F.max("n")).head()[0]
+
+
+@pytest.mark.parametrize("power", [1, 40])
+def test_the_largest_last_window_is_bounded_at_any_size(spark, monkeypatch, power):
+    """Even values, and values of which most lie close together."""
+    monkeypatch.setattr(module, "LAST_ROWS", 500)
+    for n in (20_000, 400_000):
+        frame = spark.range(n).select(F.pow(F.rand(4), F.lit(power)).alias("x"))
+        assert _last_window(frame, [0.33, 0.66]) <= 500
+        found = quantiles(frame, F.col("x"), [0.33, 0.66]).head()
+        values = np.array([r.x for r in frame.collect()]) if n < 50_000 else None
+        if values is not None:
+            np.testing.assert_allclose(found.q, np.quantile(values, [0.33, 0.66]), rtol=1e-14)
+        assert found.n == n
+
+
+def test_a_hot_value_among_many_needs_no_window_of_its_own_size(spark, monkeypatch):
+    monkeypatch.setattr(module, "LAST_ROWS", 100)
+    frame = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.25).otherwise(F.rand(1) * 20).alias("x"))
+    values = np.array([r.x for r in frame.collect()])
+    assert _last_window(frame, [0.5]) <= 100
+    np.testing.assert_allclose(quantiles(frame, F.col("x"), [0.5]).head().q, np.quantile(values, [0.5]), rtol=1e-14)
