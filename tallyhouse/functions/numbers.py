@@ -16,6 +16,7 @@ _UNITS_BELOW = "9007199254.740992D"  # 2^53 millionths: units are exact as doubl
 _LOW_BITS = 26
 _REST_BITS = 82  # half a millionth in units of 2^-82 fits a BIGINT
 _DECIMAL_BELOW = "1E22D"
+_NOISE, _NOISE_BELOW = 4.5e-16, 2.0**-32  # two units in the last place, and a 4,000th of a millionth
 # Text that is a number; a cast alone would also take 5d, 1f and the like.
 _NUMERAL = r"^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf(inity)?|nan)\\s*$"
 
@@ -68,7 +69,9 @@ def exact_sum(value: str) -> Column:
     A value below 2^53 millionths is a whole number of millionths and a rest. The rest is
     the exact difference to the double nearest to those millionths, so it is 0 for every
     value that is a decimal of six places or fewer, which thus counts as that decimal (0.1
-    as one tenth); other values count as the binary numbers they are. Millionths are
+    as one tenth). So does a value computed from decimals that is off by two units in its last
+    place at most (2 + 0.22), as long as that is less than 2^-32. All others count as the binary
+    numbers they are. Millionths are
     added as BIGINT parts, rests as whole numbers of 2^-82, values from there up to 1e22 as
     decimals of six places: all three sums are exact in any order, for 2^36 rows of the
     largest values and more of smaller ones. Each is rounded once and then they are added. Only
@@ -99,7 +102,8 @@ def sum_sql(value: str) -> str:
     millionths = f"CAST(({high} * {2**_LOW_BITS}BD + {low}) * 0.000001BD AS DOUBLE)"
     power = f"{2.0**_REST_BITS!r}D"
     rest = f"({value} - CAST({units} AS DOUBLE) / {_STEP}) * {power}"
-    whole = f"CASE WHEN {rest} <> 0D THEN CAST(floor({rest}) AS DECIMAL(20,0)) END"
+    noise = f"least({size} * {_NOISE * 2.0**_REST_BITS!r}D, {_NOISE_BELOW * 2.0**_REST_BITS!r}D)"
+    whole = f"CASE WHEN abs({rest}) > {noise} THEN CAST(floor({rest}) AS DECIMAL(20,0)) END"
     rests = f"CAST(sum({whole}) AS DOUBLE) / {power}"
     decimal = f"CASE WHEN {size} >= {_UNITS_BELOW} AND {size} < {_DECIMAL_BELOW} THEN CAST({value} AS DECIMAL(28,6)) END"
     decimals = f"CAST(sum({decimal}) AS DOUBLE)"

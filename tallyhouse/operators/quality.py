@@ -32,6 +32,7 @@ CHECK_SCHEMA = (
     "function string, arguments struct<column:string,allowed:array<string>,"
     "min_limit:double,max_limit:double>"
 )
+_MARK = "end of log 5b1f9c07"  # in no log
 _ITEMS = "array<struct<name:string,column:string,message:string>>"
 _EXACT = {"tinyint", "smallint", "int", "bigint", "decimal"}
 _NUMERIC = _EXACT | {"float", "double"}
@@ -223,13 +224,15 @@ def message(rule: Rule, kind: str) -> str:
     return f"{rule.column} inválido."
 
 
-def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def label_sets(df: DataFrame, rules: Sequence[Rule], issues: bool = False) -> DataFrame:
     """Adds ``set``, ``__errors`` and ``__warnings``.
 
     A row that breaks any rule, error or warning, is Quarantine and carries both logs as
     JSON ``{"items": [...]}`` (possibly empty); any other row is Valid with NULL logs.
     It is one projection without shuffle. ``set`` depends on the bare conditions, so a
-    query that does not use the logs never builds them.
+    query that does not use the logs never builds them. ``issues`` adds what the logs are
+    written from, the arrays ``error_issues`` and ``warning_issues`` of ``(name, column,
+    message)``, for plans that count or list issues without reading JSON again.
     """
     unknown = {rule.name: rule.criticality for rule in rules if rule.criticality not in (ERROR, WARN)}
     if unknown:
@@ -242,19 +245,24 @@ def label_sets(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     broken = [violated(rule, kinds[rule.column]) for rule in rules]
     marked = df.withColumn("_broken", F.expr(" OR ".join(broken) or "FALSE"))
 
-    def log(level: str) -> Column:
-        issues = ", ".join(
+    def items(level: str) -> str:
+        found = ", ".join(
             f"CASE WHEN {condition} THEN named_struct('name', {literal(rule.name)}, 'column', "
             f"{literal(rule.column)}, 'message', {literal(message(rule, kinds[rule.column]))}) END"
             for rule, condition in zip(rules, broken)
             if rule.criticality == level
         )
-        items = f"array_compact(array({issues}))" if issues else f"from_json('[]', '{_ITEMS}')"
-        return F.expr(f"CASE WHEN _broken THEN to_json(named_struct('items', {items})) END")
+        return f"array_compact(array({found}))" if found else f"from_json('[]', '{_ITEMS}')"
+
+    def log(level: str) -> Column:
+        return F.expr(f"CASE WHEN _broken THEN to_json(named_struct('items', {items(level)})) END")
 
     label = F.expr(f"CASE WHEN _broken THEN {literal(QUARANTINE)} ELSE {literal(VALID)} END")
-    labelled = marked.withColumns({"set": label, "__errors": log(ERROR), "__warnings": log(WARN)})
-    return labelled.drop("_broken")
+    added = {"set": label, "__errors": log(ERROR), "__warnings": log(WARN)}
+    if issues:
+        for name, level in (("error_issues", ERROR), ("warning_issues", WARN)):
+            added[name] = F.expr(f"CASE WHEN _broken THEN {items(level)} END")
+    return marked.withColumns(added).drop("_broken")
 
 
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
@@ -269,11 +277,12 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 
 
 def rule_hits(df: DataFrame, log: str = "__errors") -> DataFrame:
-    """How often each rule name occurs in a column of JSON issue logs, most frequent first.
+    """How often each rule name occurs in a column of issues, most frequent first.
 
-    An item without a name counts as ``unknown`` (also one whose name is NULL). Logs
-    that are no such JSON are skipped. In a log with an item that is no object, the
-    items before it count, as if it were read from left to right.
+    The column holds JSON issue logs, or arrays of issues as ``label_sets`` makes them. An
+    item without a name counts as ``unknown`` (also one whose name is NULL). Logs that are
+    no such JSON are skipped. In a log with an item that is no object, the items before it
+    count, as if it were read from left to right.
     """
     # The outer form: a plain explode makes Spark filter for non-empty arrays first,
     # and that filter would parse every log a second time below the projection.
@@ -288,43 +297,36 @@ def rule_hits(df: DataFrame, log: str = "__errors") -> DataFrame:
 
 
 def with_rule_names(df: DataFrame, logs: Mapping[str, str]) -> DataFrame:
-    """Adds for each log column an array of the rule names in it; NULL for other text.
+    """Adds for each column of issues an array of the rule names in it; NULL for other text.
 
-    Each log is parsed once. Only one that the typed parse refuses, or that has a NULL
-    item, is parsed again to walk its raw items up to the first bad one.
+    Each JSON log is parsed once, into the texts of its items, up to the first that is no object.
     """
-    parts = []
     for log, names in logs.items():
-        items, raw, good = f"_{names}_items", f"_{names}_raw", f"_{names}_good"
-        parts += [items, raw, good]
-        df = df.withColumn(items, _log_items(log, "struct<name:string>")["name"])
-        text = _log_items(log, "string")
-        df = df.withColumn(raw, F.when(_doubtful(F.col(items)) & F.col(log).isNotNull(), text))
-        objects = F.transform(raw, lambda item: F.coalesce(item.startswith("{"), F.lit(False)))
-        df = df.withColumn(good, F.array_position(objects, F.lit(False)))
-        before_bad = F.when(F.col(good) == 0, F.col(raw)).otherwise(
-            F.slice(raw, F.lit(1), (F.col(good) - 1).cast("int"))
-        )
-        walked = F.transform(before_bad, lambda item: F.get_json_object(item, "$.name"))
-        chosen = F.when(_doubtful(F.col(items)), walked).otherwise(F.col(items))
-        known = F.transform(chosen, lambda name: F.coalesce(name, F.lit(UNKNOWN_RULE)))
-        df = df.withColumn(names, known)
-    return df.drop(*parts)
-
-
-def _log_items(log: str, item: str) -> Column:
-    """The items of a log that is one JSON object by the letter, else NULL.
-
-    Read as the only element of an array, a log with anything behind the object is none.
+        if column_type(df, log) == "string":
+            items = f"_{names}_items"
+            df = df.withColumn(items, _log_items(log))
+            objects = F.transform(items, lambda item: F.coalesce(item.startswith("{"), F.lit(False)))
+            bad = F.array_position(objects, F.lit(False))
+            whole = F.slice(items, F.lit(1), F.when(bad == 0, F.size(items)).otherwise(bad - 1).cast("int"))
+            found = F.transform(whole, lambda item: F.from_json(item, "name string")["name"])
+        else:
+            items, found = None, F.transform(log, lambda issue: issue["name"])
+        df = df.withColumn(names, F.transform(found, lambda name: F.coalesce(name, F.lit(UNKNOWN_RULE))))
+        df = df.drop(items) if items else df
+    return df
+
+
+def _log_items(log: str) -> Column:
+    """The texts of the items of a log that is one JSON object by the letter, else NULL.
+
+    The log is read as the first of two elements of an array whose second is a mark, so
+    nothing can stand behind the object: whatever closes or follows it hides or moves the mark.
     """
-    whole = F.concat(F.lit("["), F.col(log), F.lit("]"))
-    parsed = F.from_json(whole, f"array<struct<items:array<{item}>>>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(parsed) == 1, F.get(parsed, 0)["items"])
-
-
-def _doubtful(names: Column) -> Column:
-    """Whether a typed parse gave nothing, or a name that may be that of a NULL item."""
-    return names.isNull() | F.exists(names, lambda name: name.isNull())
+    whole = F.concat(F.lit("["), F.col(log), F.lit(f',{{"{_MARK}":"{_MARK}"}}]'))
+    kind = f"array<struct<items:array<string>,`{_MARK}`:string>>"
+    parsed = F.from_json(whole, kind, {"allowSingleQuotes": "false"})
+    marked = (F.size(parsed) == 2) & (F.get(parsed, 1)[_MARK] == _MARK) & F.get(parsed, 0)[_MARK].isNull()
+    return F.when(marked, F.get(parsed, 0)["items"])
 
 
 def quarantine_examples(quarantine: DataFrame, n: int = EXAMPLE_ROWS) -> DataFrame:

@@ -26,6 +26,7 @@ from tallyhouse.operators.frames import (
 )
 
 ROLLING_ROWS = 7
+_PREFIX = "DECIMAL(37,18)"  # two of these are subtracted without losing a digit
 NO_ROUTE_FARE = 99.0  # fixed value: shown where a route has no trips
 
 
@@ -68,6 +69,18 @@ def fill_days(daily: DataFrame, start: date, end: date) -> DataFrame:
     return rows.groupBy("day").agg(*[F.sum(m).alias(m) for m in DAILY_METRICS]).orderBy("day")
 
 
+def weekly_trips(daily: DataFrame, start: date, end: date) -> DataFrame:
+    """Trips per week over a spine of every seventh day from ``start`` to before ``end``.
+
+    A week is named by its first day, and one without trips has 0. Days outside are left out.
+    """
+    zeros = calendar_spine(daily.sparkSession, start, end, 7, "week").withColumn("trips", F.lit(0).cast("bigint"))
+    since = F.datediff("day", F.lit(start))
+    week = F.date_add(F.lit(start), (F.floor(since / 7) * 7).cast("int")).alias("week")
+    rows = half_open(daily, "day", start, end).select(week, "trips").unionByName(zeros)
+    return rows.groupBy("week").agg(F.sum("trips").alias("trips")).orderBy("week")
+
+
 def month_kpi_per_trip(
     trips: DataFrame,
     start: date,
@@ -148,14 +161,29 @@ def rolling_mean(
     """Mean of each metric over a row and the ``rows - 1`` before it.
 
     Counts rows, not calendar days. A row is kept only if every metric has a full
-    frame without NULLs. For one series (``by`` empty) the window is a single task:
+    frame without NULLs. Sums are differences of two exact prefix sums of the values as
+    decimals, so a mean does not depend on what was added before it. Where a frame
+    holds a value that is no decimal of ``_PREFIX`` it is added up as doubles.
+    For one series (``by`` empty) the window is a single task:
     give it a daily table, whose size the calendar bounds, never facts.
     """
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - rows, Window.currentRow)
-    means = [
-        F.when(F.count(m).over(frame) == rows, F.avg(m).over(frame)).alias(m) for m in metrics
-    ]
-    return drop_missing(daily.select(*by, order, *keep, *means), metrics)
+    ordered = Window.partitionBy(*by).orderBy(order)
+    frame = ordered.rowsBetween(1 - rows, Window.currentRow)
+    until = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = daily.select(*by, order, *keep, *metrics)
+    for i, m in enumerate(metrics):
+        amount = F.expr(f"try_cast({identifier(m)} AS {_PREFIX})")
+        summed = summed.withColumn(f"_exact{i}", F.when(amount.cast("double") == F.col(m).cast("double"), amount))
+    summed = summed.withColumns({f"_until{i}": F.try_sum(f"_exact{i}").over(until) for i in range(len(metrics))})
+    summed = summed.withColumns({f"_until{i}": F.expr(f"try_cast(_until{i} AS {_PREFIX})") for i in range(len(metrics))})
+    means = []
+    for i, m in enumerate(metrics):
+        before = F.coalesce(F.lag(f"_until{i}", rows).over(ordered), F.lit(0).cast(_PREFIX))
+        total = (F.col(f"_until{i}") - before).cast("double")
+        exact = (F.count(f"_exact{i}").over(frame) == rows) & total.isNotNull()
+        mean = F.when(exact, total / rows).otherwise(F.avg(m).over(frame))
+        means.append(F.when(F.count(m).over(frame) == rows, mean).alias(m))
+    return drop_missing(summed.select(*by, order, *keep, *means), metrics)
 
 
 def month_compare(
@@ -205,14 +233,20 @@ def month_compare_all(
             exact_sum(number_sql(trips, km)).alias("km"),
         )
     )
-    by_month = Window.orderBy("month")
-    follows = F.lag("month").over(by_month) == F.add_months("month", -1)
+    # Every month stands for itself and, one month on, for the one before: no window over all.
+    roles = F.array(
+        F.struct(F.col("month").alias("at"), F.lit(True).alias("own")),
+        F.struct(F.add_months("month", 1).alias("at"), F.lit(False).alias("own")),
+    )
+    both = monthly.select("*", F.inline(roles)).groupBy(F.col("at").alias("month"))
+    values = {}
     for metric in DAILY_METRICS:
         zero = F.lit(0).cast("bigint") if metric == "trips" else F.lit(0.0)
-        monthly = monthly.withColumn(
-            f"{metric}_prev", F.when(follows, F.lag(metric).over(by_month)).otherwise(zero)
-        )
-    return monthly.select("month", *_with_change(DAILY_METRICS)).orderBy("month")
+        values[metric] = F.max(F.when(F.col("own"), F.col(metric)))
+        values[f"{metric}_prev"] = F.coalesce(F.max(F.when(~F.col("own"), F.col(metric))), zero)
+    compared = both.agg(*[value.alias(name) for name, value in values.items()])
+    compared = compared.filter(F.col("trips").isNotNull())
+    return compared.select("month", *_with_change(DAILY_METRICS)).orderBy("month")
 
 
 def _with_change(metrics: Sequence[str]) -> list[Column]:

@@ -10,6 +10,7 @@ from tallyhouse.functions.text import billions_text, dotted_text, percent_text
 from tallyhouse.operators import quality, questions, sales, zones
 from tallyhouse.operators.frames import QUARANTINE, VALID, apply_filters, drop_missing, stack_sets
 from tallyhouse.plans import views
+from tallyhouse.plans.trip_plans import rolling_sql
 from tallyhouse.sources import tables
 
 FIRST, LAST = date(1996, 1, 1), date(1996, 12, 31)
@@ -179,16 +180,15 @@ for _metric in ("fuel_price", "unemployment", "cpi"):
 
 
 @_query(views.sales_oracle(f"""
-SELECT sale_date, "set", {METRIC}, ROUND(weekly_sales, 6) AS weekly_sales FROM (
-  SELECT sale_date, "set", {METRIC}, AVG(weekly_sales) OVER w AS weekly_sales,
+SELECT sale_date, "set", {METRIC}, weekly_sales FROM (
+  SELECT sale_date, "set", {METRIC}, {rolling_sql("weekly_sales")},
          COUNT(weekly_sales) OVER w AS n
   FROM ({_profile_sql(METRIC)})
   WINDOW w AS (PARTITION BY "set" ORDER BY sale_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
 WHERE n = 7"""))
 def daily_profile_rolling7(spark, sf_dir):
     """Profile with mean sales smoothed over seven dates per set."""
-    smooth = sales.daily_profile_rolling(daily_profile(spark, sf_dir), METRIC)
-    return smooth.withColumn("weekly_sales", F.round("weekly_sales", 6))
+    return sales.daily_profile_rolling(daily_profile(spark, sf_dir), METRIC)
 
 
 # --- stores and dates --------------------------------------------------------------
@@ -417,8 +417,8 @@ SELECT id, "set", {_names_sql("__errors")} AS errors, {_names_sql("__warnings")}
 FROM labelled"""))
 def dq_split(spark, sf_dir):
     """Every row's set and the names of the rules it breaks."""
-    labelled = views.labelled_sales(spark, sf_dir)
-    named = quality.with_rule_names(labelled, {"__errors": "errors", "__warnings": "warnings"})
+    labelled = views.labelled_sales(spark, sf_dir, issues=True)
+    named = quality.with_rule_names(labelled, {"error_issues": "errors", "warning_issues": "warnings"})
     return named.select(
         "id",
         "set",
@@ -455,8 +455,9 @@ def quarantine_logs(spark, sf_dir):
 
 @_query(_hits_sql("__errors"))
 def rule_hits_errors(spark, sf_dir):
-    """How often each error rule is broken, counted from the logs."""
-    return quality.rule_hits(_quarantined(spark, sf_dir), "__errors")
+    """How often each error rule is broken, counted from the issues the logs are made of."""
+    labelled = views.labelled_sales(spark, sf_dir, issues=True)
+    return quality.rule_hits(labelled, "error_issues")
 
 
 @_query(_hits_sql("__warnings"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import month_bounds, month_name, month_start, year_bounds
+from tallyhouse.functions.lineage import checkpoint_folder
 from tallyhouse.functions.text import change_text, km_text, money_text, whole_text
 from tallyhouse.operators import rollup
 from tallyhouse.operators.frames import (
@@ -172,6 +174,29 @@ def month_kpi_ratio(spark, sf_dir):
     )
 
 
+@_query(views.oracle(f"""
+SELECT COUNT(*) AS trips, {_mean("fare_eur")} AS avg_fare, {_mean("distance_km")} AS avg_km
+FROM trips_v WHERE {_MONTH_RANGE}""", trips_v=views.TRIPS_WITH_GAPS))
+def catalog_month_kpi(spark, sf_dir):
+    """Month KPI of a table found by its name in the catalog, of which one partition is read."""
+    name = f"trips_{uuid.uuid4().hex}"
+    gaps = views.view(spark, sf_dir, views.TRIPS_WITH_GAPS, "lineitem")
+    tables.store_by_month(gaps, name, f"{checkpoint_folder(spark)}/{name}", "trip_date")
+    bounds = month_bounds(MONTH.year, MONTH.month)
+    return rollup.month_kpi_per_trip(tables.load_months(spark, name, *bounds, "trip_date"), *bounds)
+
+
+@_query(_over_daily("""
+SELECT CAST(s.day AS DATE) AS week, COALESCE(SUM(d.trips), 0)::BIGINT AS trips
+FROM (SELECT unnest(generate_series(TIMESTAMP '1995-12-25', TIMESTAMP '1997-01-06',
+                                    INTERVAL 7 DAY)) AS day) s
+LEFT JOIN daily d ON d.day >= CAST(s.day AS DATE) AND d.day < CAST(s.day AS DATE) + 7
+GROUP BY 1"""))
+def weekly_trips_filled(spark, sf_dir):
+    """Trips per week (by its Monday) with a zero for each week of the spine without trips."""
+    return rollup.weekly_trips(_year(spark, sf_dir), date(1995, 12, 25), date(1997, 1, 13))
+
+
 _SUMMARY = f"""
 SELECT COUNT(*) AS days, CAST(COALESCE(SUM(trips), 0) AS BIGINT) AS trips_total,
        {_total("revenue")} AS revenue_total, {_total("km")} AS km_total,
@@ -226,29 +251,30 @@ def worst_days(spark, sf_dir):
     return rollup.ranked_days(_year(spark, sf_dir), "trips", 1, ascending=True)
 
 
-_ROLLING = """
-SELECT day, ROUND(trips, 6) AS trips, ROUND(revenue, 6) AS revenue, ROUND(km, 6) AS km FROM (
-  SELECT day, COUNT(*) OVER w AS n, AVG(trips) OVER w AS trips, AVG(revenue) OVER w AS revenue,
-         AVG(km) OVER w AS km
-  FROM daily {where} WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-WHERE n = 7"""
+def rolling_sql(metric: str) -> str:
+    """Mean over the window ``w`` of the exact decimal sum."""
+    exact = f"CAST(CAST({metric} AS VARCHAR) AS DECIMAL(38,18))"
+    return f"CAST(SUM({exact}) OVER w AS DOUBLE) / 7 AS {metric}"
 
 
-def _rounded(df: DataFrame, *metrics: str) -> DataFrame:
-    return df.withColumns({m: F.round(m, 6) for m in metrics})
+_ROLLING = f"""
+SELECT day, trips, revenue, km FROM (
+  SELECT day, COUNT(*) OVER w AS n, {", ".join(map(rolling_sql, DAILY_METRICS))}
+  FROM daily {{where}} WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+WHERE n = 7"""
 
 
 @_query(_over_daily(_ROLLING.format(where="")))
 def rolling7_year(spark, sf_dir):
     """Seven-row rolling means of a year."""
-    return _rounded(rollup.rolling_mean(_year(spark, sf_dir)), *DAILY_METRICS)
+    return rollup.rolling_mean(_year(spark, sf_dir))
 
 
 @_query(_over_daily(_ROLLING.format(where="WHERE month(day) = 3")))
 def rolling7_month(spark, sf_dir):
     """Seven-row rolling means within one month: its first six rows have none."""
     march = rollup.daily_totals(views.trips(spark, sf_dir), *month_bounds(MONTH.year, MONTH.month))
-    return _rounded(rollup.rolling_mean(march), *DAILY_METRICS)
+    return rollup.rolling_mean(march)
 
 
 # --- comparisons -------------------------------------------------------------------

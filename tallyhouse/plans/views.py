@@ -140,7 +140,12 @@ SELECT o_orderkey AS id,
     ELSE CASE o_orderkey % 4
       WHEN 0 THEN replace(concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}}'), '"', chr(39))
       WHEN 1 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}} xyz')
-      WHEN 2 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}},{{}}') END END AS log
+      WHEN 2 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}},{{}}')
+      ELSE CASE o_orderkey % 5
+        WHEN 0 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}}] trailing')
+        WHEN 1 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}}]')
+        WHEN 2 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]')
+        WHEN 3 THEN concat('{{"items":[{{"name":"', o_orderstatus, '"}}]}},') END END END AS log
 FROM {orders}
 """
 
@@ -172,9 +177,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SALES, "orders")
 
 
-def labelled_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales with ``set``, ``__errors`` and ``__warnings``."""
-    return label_sets(sales(spark, sf_dir), sales_rules(LEFT_OUT_RULES))
+def labelled_sales(spark: SparkSession, sf_dir: str, issues: bool = False) -> DataFrame:
+    """Sales with ``set``, ``__errors`` and ``__warnings``, and the issues as arrays."""
+    return label_sets(sales(spark, sf_dir), sales_rules(LEFT_OUT_RULES), issues)
 
 
 def oracle(body: str, **views: str) -> str:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.calendar import month_start
 from tallyhouse.functions.numbers import column_type, mean_sql, sum_sql
+from tallyhouse.operators.frames import half_open
 
 SAMPLE_ROWS = 5000
+TASKS_PER_CORE = 2
 
 
 def load(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
@@ -27,6 +30,30 @@ def load(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_by_month(df: DataFrame, name: str, path: str, date_column: str, month_column: str = "month") -> None:
+    """Stores rows as the catalog table ``name``, one partition for each month of a date column.
+
+    The files lie at ``path``; a month's rows are written by the tasks that hold them, a hot
+    month by many. Rows without a date are a partition of their own.
+    """
+    if df.sparkSession.catalog.tableExists(name):
+        raise ValueError(f"there is a table {name!r}")
+    by_month = df.withColumn(month_column, month_start(F.col(date_column)))
+    by_month.write.partitionBy(month_column).option("path", path).format("parquet").saveAsTable(name)
+
+
+def load_months(
+    spark: SparkSession, name: str, start: date, end: date, date_column: str, month_column: str = "month"
+) -> DataFrame:
+    """Rows of ``[start, end)`` of a table that ``store_by_month`` made, without the month column.
+
+    Only the partitions of those months are listed and read; the rest is a range filter.
+    """
+    month = F.col(month_column)
+    rows = load(spark, name).filter((month >= F.lit(start.replace(day=1))) & (month < F.lit(end)))
+    return half_open(rows, date_column, start, end).drop(month_column)
+
+
 def query(
     spark: SparkSession, text: str, args: Mapping[str, object] | None = None, **tables: DataFrame
 ) -> DataFrame:
@@ -73,17 +100,12 @@ def bounded_sample(
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
     """First ``n`` rows by the given columns (NULL first), for use on a whole fact table.
 
-    Every task hands its own ``n`` best rows to the one that merges them, so the rows are
-    narrowed first: rows are counted per value of the first two columns (on the map side),
-    and only rows up to the value at which ``n`` is reached take part.
+    One scan without a shuffle of the keys. Every task keeps its own ``n`` best rows and hands
+    them to the one that merges them. Input blocks are put together into a few tasks per
+    core first, so what is merged grows with the cluster and not with the table.
     """
-    lead = F.struct(*order_by[:2])
-    counts = df.groupBy(lead.alias("lead")).agg(F.count("*").alias("rows"))
-    best = counts.orderBy("lead").limit(n)  # at most n values
-    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
-    needed = best.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    last = needed.filter(F.col("before") < n).agg(F.max("lead").alias("last")).scalar()
-    return df.filter(lead <= last).orderBy(*order_by).limit(n)
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(tasks).orderBy(*order_by).limit(n)
 
 
 def normalise(

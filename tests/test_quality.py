@@ -219,3 +219,23 @@ def test_logs_that_are_no_json_by_the_letter_are_skipped(rows):
     logs = [good, good + " ", good + " xyz", good + good, good + "," + good, good.replace('"', "'"), "", "[" + good + "]"]
     table = rows("log string", *[(t,) for t in logs])
     assert [tuple(r) for r in quality.rule_hits(table, "log").collect()] == [("a", 2)]
+
+
+def test_logs_with_anything_behind_the_object_are_skipped(rows):
+    good = '{"items":[{"name":"a"}]}'
+    bad = [good + tail for tail in ("] trailing garbage", "]", " xyz", ",{}", ",", "}", "],[", '] {"items":[]}', ",[]")]
+    bad += ["[" + good + "]", good[:-1], "", "]", "[", "null", "1", good + ',{"end":"x"}', '{"items":"a"}', "{'items':[{'name':'a'}]}"]
+    frame = rows("log string", *[(t,) for t in [good, " " + good + "\n", *bad, None]])
+    found = quality.rule_hits(frame, "log").collect()
+    assert [tuple(r) for r in found] == [("a", 2)]
+
+
+def test_issues_as_arrays_tell_what_the_logs_tell(rows):
+    rules = [quality.Rule("x_null", "error", "is_not_null", "x"), quality.Rule("x_range", "warn", "is_in_range", "x", None, 0.0, 5.0)]
+    frame = rows("x int, y string", (1, "a"), (None, "b"), (9, "c"))
+    labelled = quality.label_sets(frame, rules, issues=True)
+    assert labelled.columns == ["x", "y", "set", "__errors", "__warnings", "error_issues", "warning_issues"]
+    for log, issues in (("__errors", "error_issues"), ("__warnings", "warning_issues")):
+        assert quality.rule_hits(labelled, log).collect() == quality.rule_hits(labelled, issues).collect()
+    plan = quality.rule_hits(labelled, "error_issues")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan.lower() and "to_json" not in plan.lower()

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from tallyhouse.functions.calendar import year_bounds
 from tallyhouse.operators import rollup, sales
 from tallyhouse.plans import views
+from tallyhouse.sources import tables
 
 from tests.conftest import TESTDATA
 from tests.oracle import compare, connect
@@ -77,6 +78,24 @@ def test_queries_that_ignore_the_logs_do_not_build_them(spark):
         assert "to_json" not in _scan(QUERIES[name](spark, SF)).lower()
 
 
+def test_labelled_rows_are_counted_without_reading_json_again(spark):
+    for name in ("dq_split", "rule_hits_errors"):
+        assert "json" not in _scan(QUERIES[name](spark, SF)).lower()
+
+
+def test_first_rows_cost_one_scan_and_no_shuffle_of_keys(spark):
+    for name in ("bounded_sample", "quarantine_examples"):
+        plan = _plan(QUERIES[name](spark, SF))
+        assert plan.count("FileScan") == 1 and "hashpartitioning" not in plan
+
+
+def test_no_window_is_without_partition_but_over_days(spark):
+    for name, build in QUERIES.items():
+        plan = _plan(build(spark, SF))
+        for window in re.findall(r"Window \[.*", plan):
+            assert "rolling7" in name or not re.search(r"windowspecdefinition\(\w+#\d+ (ASC|DESC)", window), name
+
+
 def test_both_sets_cost_one_scan(spark):
     labelled = views.labelled_sales(spark, SF)
     for frame in (sales.set_kpis(labelled), sales.sales_trend(labelled), sales.holiday_effect(labelled)):
@@ -88,3 +107,23 @@ def test_results_do_not_depend_on_the_partitioning(spark):
     again = labelled.repartition(13, F.rand(3))
     for operator in (sales.set_kpis, sales.sales_trend, sales.holiday_effect):
         assert sorted(operator(labelled).collect()) == sorted(operator(again).collect())
+
+
+def test_a_catalog_table_is_read_by_partition(spark):
+    frame = QUERIES["catalog_month_kpi"](spark, SF)
+    scan = _scan(frame)
+    assert re.search(r"PartitionFilters: \[.*month#\d+ >= 1996-03-01.*month#\d+ < 1996-04-01", scan)
+    frame.collect()
+    metrics = frame._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet spark_catalog.default.trips_" in metrics
+    months = frame.sparkSession.sql(f"SHOW PARTITIONS {re.search('trips_[0-9a-f]{32}', scan)[0]}").count()
+    assert months > 12
+
+
+def test_a_table_is_not_stored_over_another(spark, tmp_path):
+    trips = views.trips(spark, SF).limit(3)
+    tables.store_by_month(trips, "stored_once", f"{tmp_path}/a", "trip_date")
+    with pytest.raises(ValueError):
+        tables.store_by_month(trips, "stored_once", f"{tmp_path}/b", "trip_date")
+    assert tables.load(spark, "stored_once").count() == 3
+    spark.sql("DROP TABLE stored_once")

@@ -180,3 +180,25 @@ def test_spine(spark):
     weeks = calendar_spine(spark, date(2010, 2, 5), date(2010, 2, 5) + timedelta(weeks=120), 7)
     assert weeks.count() == 120 and weeks.agg(F.max("day").alias("d")).head().d == date(2012, 5, 18)
     assert calendar_spine(spark, D, D).count() == 0
+
+
+def test_rolling_means_are_exact_and_do_not_depend_on_what_came_before(rows):
+    from datetime import timedelta
+    from fractions import Fraction
+
+    values = [1e14, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 1e-9, 2.5, None, 1.0, 1 / 3, 7.0]
+    first = date(2024, 1, 1)
+    frame = rows("day date, x double", *[(first + timedelta(i), v) for i, v in enumerate(values)])
+    found = {r.day: r.x for r in rollup.rolling_mean(frame, ["x"], rows=3).collect()}
+    for i in range(2, len(values)):
+        window = values[i - 2 : i + 1]
+        expected = None if None in window else float(sum(Fraction(str(v)) for v in window)) / 3
+        assert found.get(first + timedelta(i)) == expected, i
+
+
+def test_rolling_means_of_values_too_large_for_decimals(rows):
+    from datetime import timedelta
+
+    frame = rows("day date, x double", *[(date(2024, 1, 1) + timedelta(i), v) for i, v in enumerate([1e30, 2e30, 3.0, 6.0, 9.0])])
+    found = [r.x for r in rollup.rolling_mean(frame, ["x"], rows=2).orderBy("day").collect()]
+    assert found == [(1e30 + 2e30) / 2, (2e30 + 3.0) / 2, 4.5, 7.5]
