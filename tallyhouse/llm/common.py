@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -14,8 +15,10 @@ from tallyhouse.functions.lineage import checkpoint_folder, cut  # noqa: F401
 
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
+TASKS_PER_CORE = 4
 LEADERS = 12
-DRAWS = 2
+DRAWN = 8
+SPLIT = 64
 
 
 def text_of(column: str = "text") -> Column:
@@ -43,6 +46,11 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable], columns: str) -> Da
     return rows.mapInArrow(work, StructType([rows.schema["id"], *kinds.fields]))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``cut`` in a few tasks per core, for tables much smaller than the input: its readers have no more."""
+    return cut(df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(id, root)``, root the smallest id.
 
@@ -66,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         first = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", place("b")).alias("near"))
         ahead = place("near") < place("id")
-        moves.append(cut(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root"))))
+        moves.append(held(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root"))))
         a, b = (moves[-1].select(F.col("id").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
         left = _contracted(left.join(a, "a").join(b, "b"), [F.col("a_root"), F.col("b_root")])
     found = moves.pop()
@@ -82,79 +90,101 @@ def components(links: DataFrame) -> DataFrame:
 
 def _contracted(links: DataFrame, ends: list[Column]) -> DataFrame:
     ordered = links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
-    return cut(ordered.filter("a <> b").distinct())
+    return held(ordered.filter("a <> b").distinct())
 
 
-def linked_pairs(members: DataFrame, features, plausible, verify=None) -> DataFrame:
-    """All links ``(a, b)`` among ids that share a key, without pairing whole groups.
+def linked_components(
+    members: DataFrame,
+    features: Callable[[DataFrame], DataFrame],
+    plausible: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], DataFrame],
+    draws: int = DRAWN,
+) -> DataFrame:
+    """Components ``(id, root)`` of all links among ids that share a key.
 
-    ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, keys, ...)``
-    for each of the ids asked for, ``keys`` being all its keys. ``plausible(a, b)`` is a
-    condition on the features of two ids, named ``a_...`` and ``b_...``; ``verify`` takes
-    pairs ``(a, b)`` and keeps the true links (without it, ``plausible`` is the truth).
+    ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, ...)`` for each
+    of the ids asked for. ``plausible(a, b)`` is a cheap condition on the features of two ids,
+    named ``a_...`` and ``b_...``, that refuses no link; ``verify`` takes pairs ``(a, b)`` and
+    keeps the links. An id without a link may have no row.
 
     First every id is compared with the smallest ids of its groups, at most ``LEADERS`` of
-    them, which connects most groups of copies with a few pairs per member. Then, ``DRAWS``
-    times, groups that still hold several components draw a member by hash, another one for
-    every key, and the rest is compared with it: a group whose smallest id is like few of the
-    others is connected through these. What is left is exact: ids that still lie in
-    different components although they share a key are compared with each other;
-    ``plausible`` is part of that join's condition, so pairs it refuses never become rows,
-    and a pair is met at its smallest common key alone. No group is capped: every pair that
-    shares a key is verified, refused or already connected.
+    them, and labelled with the smallest it is linked to. Groups that then hold several labels
+    draw ``draws`` members by hash, others for every key, and compare the rest with them: in a
+    group of copies most of which are like some others, but few like the smallest, nearly all
+    are connected through these. Components of the links so far are worked out once. What is
+    left is exact: in groups whose members still lie in different components, pairs across
+    components are compared. Such groups of more than ``SPLIT`` members, say of texts that share
+    a passage and little else, are divided by a second, independent set of keys first:
+    ``finer(ids)`` gives ``(id, finer)``, an array of them. ``plausible`` is part of the join's
+    condition, so pairs it refuses never become rows. Links found last are contracted over the
+    components found before.
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
     groups = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
     groups = groups.filter("lead <> last").select("key", "lead")
-    shared = cut(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
-    known = cut(features(shared.select("id").distinct()))
-    plain = known.drop("keys")
+    shared = held(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
+    known = held(features(shared.select("id").distinct()))
 
     def named(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select(
-            [F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns]
-        )
-
-    def compared(stars: DataFrame) -> DataFrame:
-        pairs = stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        both = pairs.join(named(plain, "a"), "a").join(named(plain, "b"), "b")
-        return cut(both.filter(plausible("a", "b")).select("a", "b"))
+        return rows.select([F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return cut(verify(pairs)) if verify else pairs
-
-    def still_apart(links: DataFrame) -> DataFrame:
-        rooted = shared.select("key", "id").join(cut(components(links)), "id", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "id"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return cut(rooted.join(mixed.filter("lo <> hi").select("key"), "key"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        return pairs.join(named(known, "a"), "a").join(named(known, "b"), "b").filter(plausible("a", "b")).select("a", "b")
 
     leads = F.slice(F.sort_array(F.collect_set("lead")), 1, LEADERS)  # one per key at most
-    stars = shared.groupBy("id").agg(leads.alias("leads")).select("id", F.explode("leads").alias("lead"))
-    tried = compared(stars.filter("id <> lead"))
-    links = confirmed(tried)
-    mixed = still_apart(links)
-    for draw in range(DRAWS):
-        if mixed.isEmpty():
-            return links
-        order = F.xxhash64(F.lit(draw), "key", "id")
-        drawn = mixed.groupBy("key").agg(
-            F.min_by("id", order).alias("lead"), F.min_by("root", order).alias("lead_root")
-        )
-        more = compared(mixed.join(drawn, "key").filter("root <> lead_root").select("id", "lead"))
-        tried, links = tried.union(more), links.union(confirmed(more))
-        mixed = still_apart(links)
+    stars = shared.groupBy(F.col("id").alias("b")).agg(leads.alias("leads"))
+    stars = stars.select("b", F.explode("leads").alias("a")).filter("a < b")
+    links = verify(compared(stars))
+    mixed = held(_mixed(_rooted(shared, links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))))
+    release(members.sparkSession)
+
+    drawing = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"))
+    drawn = mixed.withColumn("turn", F.row_number().over(drawing)).filter(F.col("turn") <= draws)
+    drawn = drawn.select("key", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
+    more = mixed.join(drawn, "key").filter("root <> lead_root")
+    more = more.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    links = links.union(verify(compared(more)))
+    roots = held(components(links))
+    release(members.sparkSession)
+
+    mixed = held(_mixed(_rooted(mixed, roots)))
     if mixed.isEmpty():
-        return links
-    full = mixed.join(known, "id")
-    here = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    apart = (
-        named(full, "a")
-        .join(named(full, "b"), "key")
-        .filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-        .filter(plausible("a", "b") & here)
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    return links.union(confirmed(cut(apart)))
+        return roots
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("members"))
+    large = sizes.filter(F.col("members") > SPLIT).select("key")
+    small, wide = mixed.join(large, "key", "left_anti"), mixed.join(large, "key", "left_semi")
+    divided = wide.join(finer(wide.select("id").distinct()), "id").select(F.explode("finer").alias("part"), "key", "id", "root")
+    divided = _mixed(divided.select(F.xxhash64("key", "part").alias("key"), "id", "root").distinct())
+    full = small.unionByName(divided).join(known, "id")
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & plausible("a", "b")
+    pairs = named(full, "a").join(named(full, "b"), "key").filter(apart)
+    pairs = held(pairs.select("a", "b", "a_root", "b_root").distinct())
+    found = pairs.join(verify(pairs.select("a", "b")), ["a", "b"], "left_semi")
+    merged = held(components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))))
+    release(members.sparkSession)
+    # Ids that were in no component until now are their own roots.
+    final = merged.select(F.col("id").alias("root"), F.col("root").alias("final"))
+    moved = roots.join(final, "root", "left").select("id", F.coalesce("final", "root").alias("root"))
+    return moved.union(merged.join(roots.select("id"), "id", "left_anti").select("id", "root"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files, cut tables and generated classes that nothing refers to any more.
+
+    It does so when the driver collects garbage, which one with room to spare seldom does in the
+    middle of a job of many steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows ``(key, id, root)``; an id that has no root is its own."""
+    return members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows ``(key, id, root)`` of keys with more than one root."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(keys.filter("lo <> hi").select("key"), "key", "left_semi")

@@ -22,14 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import components, cut, linked_pairs, map_texts, text_of
+from tallyhouse.llm.common import components, cut, held, linked_components, map_texts, text_of
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5
+FINER, FINER_ROWS = 54, 6  # bands of other values, by which large groups are divided
 HASHES = 600  # samples of the odd sketch; the bands are made of the first of them
 SKETCH_BITS = 2048
 REFUSED_BELOW = 0.66
+DRAWN = 2  # of each key; a document has 40
 CHUNK = 1 << 16
 MAX_CACHED = 500_000
 
@@ -82,11 +84,11 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray, bands: int = BANDS, values: int = ROWS) -> np.ndarray:
     """Band keys of each row of MinHash values, as signed integers."""
-    rows = minima[:, : BANDS * ROWS].reshape(len(minima), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _SHORT, rows.shape[:2]).copy()
-    for k in range(ROWS):
+    rows = minima[:, : bands * values].reshape(len(minima), bands, values)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _SHORT, rows.shape[:2]).copy()
+    for k in range(values):
         keys = _mixed(keys + rows[:, :, k])
     return keys.view(np.int64)
 
@@ -106,7 +108,7 @@ def _signer() -> Callable:
     def sign(texts: list[str]) -> tuple:
         sets = [shingle_hashes(text, cache) for text in texts]
         empty = np.zeros(0, np.int64)
-        bands, sketches = [empty] * len(sets), [empty] * len(sets)
+        bands, finer, sketches = ([empty] * len(sets) for _ in range(3))
         filled = [i for i, s in enumerate(sets) if len(s)]
         start = 0
         while start < len(filled):
@@ -115,12 +117,13 @@ def _signer() -> Callable:
                 size += len(sets[filled[end]])
                 end += 1
             minima = _minima([sets[i] for i in filled[start:end]])
-            for i, b, s in zip(filled[start:end], band_keys(minima), odd_sketch(minima)):
-                bands[i], sketches[i] = b, s
+            others = band_keys(minima[:, BANDS * ROWS :], FINER, FINER_ROWS)
+            for i, b, f, s in zip(filled[start:end], band_keys(minima), others, odd_sketch(minima)):
+                bands[i], finer[i], sketches[i] = b, f, s
             start = end
         one = [s.sum(dtype=np.uint64).astype(np.int64) for s in sets]
         two = [_mixed(s + _SHORT).sum(dtype=np.uint64).astype(np.int64) for s in sets]
-        return [len(s) for s in sets], one, two, bands, sketches
+        return [len(s) for s in sets], one, two, bands, finer, sketches
 
     return sign
 
@@ -153,7 +156,10 @@ def near_duplicates(
         raise ValueError(f"bands and sketches are laid out for {PERCENT} percent and more")
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), text_of(text).alias("text"))
     signed = cut(
-        map_texts(rows, _signer, "n bigint, k1 bigint, k2 bigint, bands array<bigint>, odd array<bigint>")
+        map_texts(
+            rows, _signer,
+            "n bigint, k1 bigint, k2 bigint, bands array<bigint>, finer array<bigint>, odd array<bigint>",
+        )
     )
     known = signed.filter("n > 0 AND id IS NOT NULL")
     classes = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
@@ -163,7 +169,10 @@ def near_duplicates(
 
     def features(ids: DataFrame) -> DataFrame:
         words = [F.col("odd")[i].alias(f"o{i}") for i in range(SKETCH_BITS // 64)]
-        return chosen.join(ids, "id", "left_semi").select("id", F.col("bands").alias("keys"), "n", *words)
+        return chosen.join(ids, "id", "left_semi").select("id", "n", *words)
+
+    def finer(ids: DataFrame) -> DataFrame:
+        return chosen.join(ids, "id", "left_semi").select("id", "finer")
 
     def plausible(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
@@ -175,16 +184,26 @@ def near_duplicates(
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = map_texts(rows.join(ids, "id", "left_semi"), _collector, "shingles array<bigint>")
-        sets = cut(sets)
+        sets = held(sets)
         left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "ab")
         both = F.size(F.array_intersect("a_set", "b_set"))
         union = F.size("a_set") + F.size("b_set") - both
-        return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
+        return held(pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b"))
 
+    roots = held(linked_components(members, features, plausible, verify, finer, draws=DRAWN))
     # Rows of one id may belong to several classes, which the id then links.
-    copies = known.join(classes, ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = linked_pairs(members, features, plausible, verify).union(copies)
-    joined = signed.join(components(links), "id", "left")
+    copies = known.join(classes, ["k1", "k2"]).select("id", "rep").distinct()
+    several = copies.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+    if several.isEmpty():
+        # Every other class is a star around its representative.
+        member = (F.col("n") > 0) & F.col("id").isNotNull()
+        joined = signed.join(classes, ["k1", "k2"], "left").withColumn("rep", F.when(member, F.col("rep")).otherwise(F.col("id")))
+        joined = joined.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+        joined = joined.withColumn("root", F.coalesce("root", "rep"))
+    else:
+        links = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = links.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        joined = signed.join(components(links), "id", "left")
     component = F.coalesce("root", "id")
     return joined.select(
         "id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyhouse.llm.common import text_of
+from tallyhouse.llm.common import cut, text_of
 
 COMMON = 1_000_000
-COMMON_BYTES = 32
+SENT_BYTES = 32  # a longer common pre-token is sent as its 128-bit hash
 BUCKET_WORDS = 50_000
 LOCAL_WORDS = 500_000
 LIMIT = 4096
@@ -39,6 +39,12 @@ def pretokens(text: str) -> list[str]:
     return _PRETOKEN.findall(" " + text) if text else []
 
 
+def _sent(word: str) -> str:
+    """A pre-token as it is sent to every task: itself, or a line feed and its hash if it is long."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return word if len(raw) <= SENT_BYTES else "\n" + xxhash.xxh3_128_hexdigest(raw)
+
+
 class PieceCounter:
     """Pieces per pre-token as the library's model gives them."""
 
@@ -80,29 +86,28 @@ def count_tokens(
     NULL and empty texts have no token. Rows are counted one by one, also those that share
     an id; other columns are ignored, and an empty table gives no row.
 
-    The driver receives the common pre-tokens (at most ``COMMON``, each of at most
-    ``COMMON_BYTES`` bytes; in practice some ten thousands) with their piece counts.
+    The driver receives the common pre-tokens (at most ``COMMON``, those of more than
+    ``SENT_BYTES`` bytes as hashes; in practice some ten thousands) with their piece counts.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), text_of(text).alias("text")
     )
-    vocabulary = (
+    vocabulary = cut(
         rows.select("text").mapInPandas(_uses, "word string, uses bigint")
         .groupBy("word").agg(F.sum("uses").alias("uses"))
     )
-    share = vocabulary.groupBy((F.octet_length("word") <= COMMON_BYTES).alias("short"), F.log2("uses").cast("int").alias("size"))
-    sizes = share.agg(F.sum("uses").alias("uses"), F.count("*").alias("words")).collect()
-    total, words = sum(r["uses"] for r in sizes), sum(r["words"] for r in sizes)
+    sizes = vocabulary.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count("*").alias("words")).first()
+    total, words = sizes["uses"], sizes["words"]
     buckets = max(1, -(-words // BUCKET_WORDS))
 
     def count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = PieceCounter(model_path)
         for frame in frames:
             words = frame["word"].tolist()
-            yield pd.DataFrame({"word": np.array(words, object), "pieces": counter.count(words)})
+            yield pd.DataFrame({"word": np.array([_sent(w) for w in words], object), "pieces": counter.count(words)})
 
-    common = vocabulary.filter((F.octet_length("word") <= COMMON_BYTES) & (F.col("uses") * COMMON > total))
+    common = vocabulary.filter(F.col("uses") * COMMON > total)
     counted = common.select("word").mapInPandas(count_pieces, "word string, pieces int").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(counted["word"], counted["pieces"].tolist())))
 
@@ -118,8 +123,9 @@ def count_tokens(
             for number, text in zip(numbers, texts):
                 found = 0
                 for word, uses in Counter(pretokens(text)).items():
-                    if word in pieces:
-                        found += uses * pieces[word]
+                    name = word if len(word) <= SENT_BYTES // 4 else _sent(word)
+                    if name in pieces:
+                        found += uses * pieces[name]
                     else:
                         raw = word.encode("utf-8", "surrogatepass")
                         rare[xxhash.xxh3_64_intdigest(raw) % buckets].append((raw, number, uses))

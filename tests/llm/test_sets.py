@@ -113,7 +113,11 @@ SPACE = "[\x20\x09-\x0d]"
 
 
 def _line_set(line):
-    return {line[m.start() : m.start() + 12] for m in re.finditer(f"(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d]", line)}
+    """Runs of 12 characters from every word's start, and from inside words as long as they lie within."""
+    starts = set()
+    for word in re.finditer("[^\x20\x09-\x0d]+", line):
+        starts |= {word.start(), *range(word.start(), word.end() - 11)}
+    return {line[i : i + 12] for i in starts}
 
 
 def _brute_lines(rows):
@@ -152,7 +156,7 @@ def _line_docs(rng):
                 line[rng.randrange(len(line))] = "edited" + str(rng.randrange(99))
             own.append(" ".join(line))
         rows.append((i, "\n".join(own + rng.choice([[], [""], ["  ", "license of all"], ["license of all"]]))))
-    return rows + [(90, ""), (91, None), (92, "\n\n"), (93, "y" * 50_000), (94, "y" * 50_000), (95, "é\r\né\r\nx")]
+    return rows + [(90, ""), (91, None), (92, "\n\n"), (93, "y" * 50_000), (94, "y" * 50_000 + "\n" + "z y" * 9_000), (95, "é\r\né\r\nx")]
 
 
 def test_repeated_lines_equal_brute_force(spark):
