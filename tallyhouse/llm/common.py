@@ -16,9 +16,9 @@ from tallyhouse.functions.lineage import checkpoint_folder, cut  # noqa: F401
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 TASKS_PER_CORE = 4
-LEADERS = 12
-DRAWN = 8
-SPLIT = 64
+DRAWS = 3
+SPLIT = 8
+ONE_TASK = 100_000  # links of two ids
 
 
 def text_of(column: str = "text") -> Column:
@@ -60,34 +60,46 @@ def components(links: DataFrame) -> DataFrame:
     around small ids at once; later rounds order them by a hash that differs from round to
     round, so even a long chain shrinks by a constant factor each time and there are
     logarithmically many rounds. A round is a grouping and two joins, whose hot nodes are
-    plain skewed keys; the driver learns only whether links are left. A NULL end is no node,
-    and a node without a link to another has no row.
+    plain skewed keys; the driver learns only how many links are left. Rounds with at most
+    ``ONE_TASK`` links run in one task each, which spares them all shuffles. A NULL end is no
+    node, and a node without a link to another has no row.
     """
     known = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     left, moves = _contracted(known, [F.col("a"), F.col("b")]), []
-    while not moves or not left.isEmpty():
-        turn = len(moves)
+    count = left.count()
+    while not moves or count:
+        turn, few = len(moves), count <= ONE_TASK
 
         def place(node: str) -> Column:
             return F.xxhash64(F.lit(turn), node) if turn else F.col(node)
 
+        left = left.coalesce(1) if few else left
         both = left.union(left.select("b", "a"))
+        both = both.coalesce(1) if few else both
         first = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", place("b")).alias("near"))
         ahead = place("near") < place("id")
-        moves.append(held(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root"))))
-        a, b = (moves[-1].select(F.col("id").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
+        moved = held(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root")))
+        moves.append((moved, few))
+        a, b = (_sent(moved.select(F.col("id").alias(s), F.col("root").alias(f"{s}_root")), few) for s in "ab")
         left = _contracted(left.join(a, "a").join(b, "b"), [F.col("a_root"), F.col("b_root")])
-    found = moves.pop()
+        count = (left.coalesce(1) if few else left).count()
+    found, few = moves.pop()
     while moves:
         # The smallest id of a component stays in place in the first round: later nodes hold it.
         if len(moves) == 1:
             smallest = found.groupBy("root").agg(F.min("id").alias("low"))
-            found = found.join(smallest, "root").select("id", F.col("low").alias("root"))
-        later = found.select(F.col("id").alias("root"), F.col("root").alias("final"))
-        found = moves.pop().join(later, "root", "left").select("id", F.coalesce("final", "root").alias("root"))
+            found = found.join(_sent(smallest, few), "root").select("id", F.col("low").alias("root"))
+        later = _sent(found.select(F.col("id").alias("root"), F.col("root").alias("final")), few)
+        moved, few = moves.pop()
+        found = moved.join(later, "root", "left").select("id", F.coalesce("final", "root").alias("root"))
     return found
 
 
+def _sent(nodes: DataFrame, few: bool) -> DataFrame:
+    """Nodes for a join; those of ``ONE_TASK`` links, two a link at most, go to every task."""
+    return F.broadcast(nodes.coalesce(1)) if few else nodes
+
+
 def _contracted(links: DataFrame, ends: list[Column]) -> DataFrame:
     ordered = links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
     return held(ordered.filter("a <> b").distinct())
@@ -99,67 +111,53 @@ def linked_components(
     plausible: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     finer: Callable[[DataFrame], DataFrame],
-    draws: int = DRAWN,
+    draws: int = DRAWS,
 ) -> DataFrame:
     """Components ``(id, root)`` of all links among ids that share a key.
 
     ``members`` has rows ``(key, id)``; ``features(ids)`` gives one row ``(id, ...)`` for each
-    of the ids asked for. ``plausible(a, b)`` is a cheap condition on the features of two ids,
+    of the ids asked for, from a table that is cut. ``plausible(a, b)`` is a cheap condition on the features of two ids,
     named ``a_...`` and ``b_...``, that refuses no link; ``verify`` takes pairs ``(a, b)`` and
     keeps the links. An id without a link may have no row.
 
-    First every id is compared with the smallest ids of its groups, at most ``LEADERS`` of
-    them, and labelled with the smallest it is linked to. Groups that then hold several labels
-    draw ``draws`` members by hash, others for every key, and compare the rest with them: in a
-    group of copies most of which are like some others, but few like the smallest, nearly all
-    are connected through these. Components of the links so far are worked out once. What is
-    left is exact: in groups whose members still lie in different components, pairs across
-    components are compared. Such groups of more than ``SPLIT`` members, say of texts that share
-    a passage and little else, are divided by a second, independent set of keys first:
-    ``finer(ids)`` gives ``(id, finer)``, an array of them. ``plausible`` is part of the join's
-    condition, so pairs it refuses never become rows. Links found last are contracted over the
-    components found before.
+    Groups of at most ``SPLIT`` members are compared whole. In larger ones every member is
+    compared with ``draws`` others, drawn by a hash that differs from key to key: a group of
+    copies shares many keys, so its members meet many different ones, and nearly all are
+    connected through these. Components of the links so far are worked out once. What is left
+    is exact: ids of large groups whose members then still lie in different components are
+    divided by a second, independent set of keys (``finer(ids)`` gives ``(id, finer)``, an
+    array of them), and pairs across components are compared. ``plausible`` is part of that
+    join's condition, so pairs it refuses never become rows. Links found last are contracted
+    over the components found before.
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
-    groups = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    groups = groups.filter("lead <> last").select("key", "lead")
-    shared = held(dealt.join(groups.hint("shuffle_hash"), "key").distinct())
-    known = held(features(shared.select("id").distinct()))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    groups = groups.filter("low <> high").select("key", "n")
+    shared = dealt.join(groups.hint("shuffle_hash"), "key").distinct()
+    turns = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"))
+    shared = held(shared.withColumn("turn", F.row_number().over(turns)))
+    known = features(shared.select("id").distinct())
 
     def named(rows: DataFrame, side: str) -> DataFrame:
         return rows.select([F.col(c).alias({"id": side, "key": "key"}.get(c, f"{side}_{c}")) for c in rows.columns])
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        return pairs.join(named(known, "a"), "a").join(named(known, "b"), "b").filter(plausible("a", "b")).select("a", "b")
-
-    leads = F.slice(F.sort_array(F.collect_set("lead")), 1, LEADERS)  # one per key at most
-    stars = shared.groupBy(F.col("id").alias("b")).agg(leads.alias("leads"))
-    stars = stars.select("b", F.explode("leads").alias("a")).filter("a < b")
-    links = verify(compared(stars))
-    mixed = held(_mixed(_rooted(shared, links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))))
+    drawn = F.col("turn") <= F.when(F.col("n") <= SPLIT, SPLIT).otherwise(draws)
+    pairs = shared.join(shared.filter(drawn).select("key", F.col("id").alias("lead")), "key").filter("id <> lead")
+    pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    pairs = pairs.join(named(known, "a"), "a").join(named(known, "b"), "b").filter(plausible("a", "b"))
+    roots = held(components(verify(pairs.select("a", "b"))))
     release(members.sparkSession)
 
-    drawing = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"))
-    drawn = mixed.withColumn("turn", F.row_number().over(drawing)).filter(F.col("turn") <= draws)
-    drawn = drawn.select("key", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
-    more = mixed.join(drawn, "key").filter("root <> lead_root")
-    more = more.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    links = links.union(verify(compared(more)))
-    roots = held(components(links))
-    release(members.sparkSession)
-
-    mixed = held(_mixed(_rooted(mixed, roots)))
+    mixed = held(_mixed(_rooted(shared.filter(F.col("n") > SPLIT), roots)).select("id", "root").distinct())
     if mixed.isEmpty():
         return roots
-    sizes = mixed.groupBy("key").agg(F.count("*").alias("members"))
-    large = sizes.filter(F.col("members") > SPLIT).select("key")
-    small, wide = mixed.join(large, "key", "left_anti"), mixed.join(large, "key", "left_semi")
-    divided = wide.join(finer(wide.select("id").distinct()), "id").select(F.explode("finer").alias("part"), "key", "id", "root")
-    divided = _mixed(divided.select(F.xxhash64("key", "part").alias("key"), "id", "root").distinct())
-    full = small.unionByName(divided).join(known, "id")
+    divided = mixed.join(finer(mixed.select("id")), "id").select(F.explode("finer").alias("key"), "id", "root")
+    full = _mixed(divided.distinct()).join(known, "id")
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & plausible("a", "b")
     pairs = named(full, "a").join(named(full, "b"), "key").filter(apart)
     pairs = held(pairs.select("a", "b", "a_root", "b_root").distinct())
+    if pairs.isEmpty():
+        return roots
     found = pairs.join(verify(pairs.select("a", "b")), ["a", "b"], "left_semi")
     merged = held(components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))))
     release(members.sparkSession)

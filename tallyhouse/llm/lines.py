@@ -111,16 +111,14 @@ def repeated_lines(
     members = lines.select(F.explode(keys).alias("key"), F.col("h").alias("id"))
     known: list[DataFrame] = []  # the sets of lines that share a key
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def features(ids: DataFrame) -> DataFrame:
         ids = held(ids)
         if ids.count() <= SENT_IDS:  # else texts go where their ids are
             ids = F.broadcast(ids)
         wanted = _lines(docs, id_column, text).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi")
-        return held(wanted.dropDuplicates(["id"]).select("id", line_shingles(F.col("line"), chars).alias("set")))
-
-    def features(ids: DataFrame) -> DataFrame:
-        known.append(sets_of(ids))
-        return known[0].select("id", F.size("set").alias("n"), *parity_words(F.col("set")))
+        sets = wanted.dropDuplicates(["id"]).select("id", line_shingles(F.col("line"), chars).alias("set"))
+        known.append(held(sets.select("id", "set", F.size("set").alias("n"), *parity_words(F.col("set")))))
+        return known[0].drop("set")
 
     def finer(ids: DataFrame) -> DataFrame:
         again = F.sort_array(F.transform("set", lambda s: F.xxhash64(F.lit(1), s)))

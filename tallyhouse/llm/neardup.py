@@ -31,7 +31,7 @@ FINER, FINER_ROWS = 54, 6  # bands of other values, by which large groups are di
 HASHES = 600  # samples of the odd sketch; the bands are made of the first of them
 SKETCH_BITS = 2048
 REFUSED_BELOW = 0.66
-DRAWN = 2  # of each key; a document has 40
+DRAWS = 2  # of each key of a large group; a document has 40 keys
 CHUNK = 1 << 16
 MAX_CACHED = 500_000
 
@@ -169,7 +169,7 @@ def near_duplicates(
 
     def features(ids: DataFrame) -> DataFrame:
         words = [F.col("odd")[i].alias(f"o{i}") for i in range(SKETCH_BITS // 64)]
-        return chosen.join(ids, "id", "left_semi").select("id", "n", *words)
+        return held(chosen.join(ids, "id", "left_semi").select("id", "n", *words))
 
     def finer(ids: DataFrame) -> DataFrame:
         return chosen.join(ids, "id", "left_semi").select("id", "finer")
@@ -190,7 +190,7 @@ def near_duplicates(
         union = F.size("a_set") + F.size("b_set") - both
         return held(pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b"))
 
-    roots = held(linked_components(members, features, plausible, verify, finer, draws=DRAWN))
+    roots = held(linked_components(members, features, plausible, verify, finer, draws=DRAWS))
     # Rows of one id may belong to several classes, which the id then links.
     copies = known.join(classes, ["k1", "k2"]).select("id", "rep").distinct()
     several = copies.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
