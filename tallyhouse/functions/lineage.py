@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table of their own in the checkpoint folder, of known size.
+
+    After ``cut`` Spark goes on with the size it guessed for the plan behind the rows. For a
+    join that is the product of both sides, so in a loop of joins the number itself grows until
+    it fills the driver. Tables stay until the folder's owner clears them: for small ones.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
