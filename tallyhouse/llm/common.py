@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from tallyhouse.functions.lineage import checkpoint_folder, cut  # noqa: F401
+from tallyhouse.functions.lineage import checkpoint_folder, cut, stored  # noqa: F401
 
 # Fixed value: the white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -46,9 +46,13 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable], columns: str) -> Da
     return rows.mapInArrow(work, StructType([rows.schema["id"], *kinds.fields]))
 
 
+def _few_tasks(df: DataFrame) -> DataFrame:
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def held(df: DataFrame) -> DataFrame:
     """``cut`` in a few tasks per core, for tables much smaller than the input: its readers have no more."""
-    return cut(df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    return cut(_few_tasks(df))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -61,7 +65,8 @@ def components(links: DataFrame) -> DataFrame:
     round, so even a long chain shrinks by a constant factor each time and there are
     logarithmically many rounds. A round is a grouping and two joins, whose hot nodes are
     plain skewed keys; the driver learns only how many links are left. Rounds with at most
-    ``ONE_TASK`` links run in one task each, which spares them all shuffles. A NULL end is no
+    ``ONE_TASK`` links run in one task each, which spares them all shuffles. Every round's
+    tables are stored, so that no round's plan or size rests on those before. A NULL end is no
     node, and a node without a link to another has no row.
     """
     known = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
@@ -78,7 +83,7 @@ def components(links: DataFrame) -> DataFrame:
         both = both.coalesce(1) if few else both
         first = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", place("b")).alias("near"))
         ahead = place("near") < place("id")
-        moved = held(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root")))
+        moved = stored(_few_tasks(first.select("id", F.when(ahead, F.col("near")).otherwise(F.col("id")).alias("root"))))
         moves.append((moved, few))
         a, b = (_sent(moved.select(F.col("id").alias(s), F.col("root").alias(f"{s}_root")), few) for s in "ab")
         left = _contracted(left.join(a, "a").join(b, "b"), [F.col("a_root"), F.col("b_root")])
@@ -102,7 +107,7 @@ def _sent(nodes: DataFrame, few: bool) -> DataFrame:
 
 def _contracted(links: DataFrame, ends: list[Column]) -> DataFrame:
     ordered = links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
-    return held(ordered.filter("a <> b").distinct())
+    return stored(_few_tasks(ordered.filter("a <> b").distinct()))
 
 
 def linked_components(
