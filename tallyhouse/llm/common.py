@@ -117,6 +117,7 @@ def linked_components(
     verify: Callable[[DataFrame], DataFrame],
     finer: Callable[[DataFrame], DataFrame],
     draws: int = DRAWS,
+    close: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Components ``(id, root)`` of all links among ids that share a key.
 
@@ -132,7 +133,8 @@ def linked_components(
     is exact: ids of large groups whose members then still lie in different components are
     divided by a second, independent set of keys (``finer(ids)`` gives ``(id, finer)``, an
     array of them), and pairs across components are compared. ``plausible`` is part of that
-    join's condition, so pairs it refuses never become rows. Links found last are contracted
+    join's condition, and so is ``close(a, b)``, the whole condition of a link where the
+    features are enough for it, so pairs these refuse never become rows. Links found last are contracted
     over the components found before.
     """
     dealt = members.repartition("key")  # read by both the groups and the join with them
@@ -159,6 +161,7 @@ def linked_components(
     divided = mixed.join(finer(mixed.select("id")), "id").select(F.explode("finer").alias("key"), "id", "root")
     full = _mixed(divided.distinct()).join(known, "id")
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & plausible("a", "b")
+    apart = apart & close("a", "b") if close else apart
     pairs = named(full, "a").join(named(full, "b"), "key").filter(apart)
     pairs = held(pairs.select("a", "b", "a_root", "b_root").distinct())
     if pairs.isEmpty():

@@ -118,7 +118,7 @@ def repeated_lines(
         wanted = _lines(docs, id_column, text).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi")
         sets = wanted.dropDuplicates(["id"]).select("id", line_shingles(F.col("line"), chars).alias("set"))
         known.append(held(sets.select("id", "set", F.size("set").alias("n"), *parity_words(F.col("set")))))
-        return known[0].drop("set")
+        return known[0]
 
     def finer(ids: DataFrame) -> DataFrame:
         again = F.sort_array(F.transform("set", lambda s: F.xxhash64(F.lit(1), s)))
@@ -131,13 +131,15 @@ def repeated_lines(
         # Of similar sets at most this share of both is on one side only, and a bit flips for one of these.
         return close & ((100 + percent) * differ <= (100 - percent) * (left + right))
 
+    def close(a: str, b: str) -> Column:
+        both = F.size(F.array_intersect(f"{a}_set", f"{b}_set"))
+        return 100 * both >= percent * (F.size(f"{a}_set") + F.size(f"{b}_set") - both)
+
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (known[0].select(F.col("id").alias(s), F.col("set").alias(f"{s}_set")) for s in "ab")
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        union = F.size("a_set") + F.size("b_set") - both
-        return held(pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b"))
+        return held(pairs.join(left, "a").join(right, "b").filter(close("a", "b")).select("a", "b"))
 
-    roots = linked_components(members, features, plausible, verify, finer).withColumnRenamed("id", "h")
+    roots = linked_components(members, features, plausible, verify, finer, close=close).withColumnRenamed("id", "h")
     grouped = cut(
         occurrences.join(roots, "h", "left").select(
             "id", "copy", "pos", F.coalesce("root", "h").alias("line_group")
