@@ -127,9 +127,9 @@ def linked_components(
     keeps the links. An id without a link may have no row.
 
     Groups of at most ``SPLIT`` members are compared whole. In larger ones every member is
-    compared with ``draws`` others, drawn by a hash that differs from key to key: a group of
-    copies shares many keys, so its members meet many different ones, and nearly all are
-    connected through these. Components of the links so far are worked out once. What is left
+    compared with ``draws`` others, those first by a hash of the id: members of a group of
+    copies share many keys, whose draws are then mostly the same few, so that pairs do not
+    grow with the number of shared keys, and nearly all are connected through these. Components of the links so far are worked out once. What is left
     is exact: ids of large groups whose members then still lie in different components are
     divided by a second, independent set of keys (``finer(ids)`` gives ``(id, finer)``, an
     array of them), and pairs across components are compared. ``plausible`` is part of that
@@ -141,7 +141,7 @@ def linked_components(
     groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     groups = groups.filter("low <> high").select("key", "n")
     shared = dealt.join(groups.hint("shuffle_hash"), "key").distinct()
-    turns = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"))
+    turns = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
     shared = held(shared.withColumn("turn", F.row_number().over(turns)))
     known = features(shared.select("id").distinct())
 
