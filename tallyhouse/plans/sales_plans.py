@@ -6,8 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.numbers import exact_sum
 from tallyhouse.functions.text import billions_text, dotted_text, percent_text
 from tallyhouse.operators import quality, questions, sales, zones
+from tallyhouse.operators.catalogues import label_sets_from
 from tallyhouse.operators.frames import QUARANTINE, VALID, apply_filters, drop_missing, stack_sets
 from tallyhouse.plans import views
 from tallyhouse.plans.trip_plans import rolling_sql
@@ -453,6 +455,70 @@ def quarantine_logs(spark, sf_dir):
     )
 
 
+def _weekly_checks(rows):
+    """A rule catalogue out of the rows themselves: for every week its stores and its largest sale.
+
+    The calendar bounds it: two rules a week.
+    """
+    weeks = rows.groupBy("sale_date").agg(
+        F.max("weekly_sales").alias("top"), F.sort_array(F.collect_set("store")).alias("stores")
+    )
+    text = F.date_format("sale_date", "yyyy-MM-dd")
+
+    def check(function, **arguments):
+        made = F.struct(*[value.alias(name) for name, value in arguments.items()])
+        return F.to_json(F.struct(F.lit(function).alias("function"), made.alias("arguments")))
+
+    top = check("is_in_range", column=F.lit("weekly_sales"), max_limit=F.col("top"))
+    stores = check("is_in_list", column=F.lit("store"), allowed=F.col("stores"))
+    rules = weeks.select(F.explode(F.array(
+        F.struct(F.concat(F.lit("top_"), text).alias("name"), F.lit("error").alias("criticality"), top.alias("check")),
+        F.struct(F.concat(F.lit("stores_"), text).alias("name"), F.lit("warn").alias("criticality"), stores.alias("check")),
+    )).alias("rule"))
+    return rules.select("rule.*")
+
+
+@_query(views.oracle("""
+SELECT 'top_' || strftime(w.sale_date, '%Y-%m-%d') AS rule, COUNT(*) AS n
+FROM sales_v s JOIN (SELECT sale_date, MAX(weekly_sales) AS top FROM sales_v GROUP BY sale_date) w
+  ON s.weekly_sales > w.top GROUP BY w.sale_date
+UNION ALL
+SELECT 'stores_' || strftime(w.sale_date, '%Y-%m-%d'), SUM(c.n)::BIGINT
+FROM (SELECT DISTINCT sale_date FROM sales_v) w,
+     (SELECT store, COUNT(*) AS n FROM sales_v GROUP BY store) c
+WHERE NOT EXISTS (SELECT 1 FROM sales_v o WHERE o.sale_date = w.sale_date AND o.store = c.store)
+GROUP BY w.sale_date""", sales_v=views.SALES))
+def rule_hits_large_catalogue(spark, sf_dir):
+    """How often each of two rules a week is broken, the catalogue being a table made of the rows."""
+    rows = views.sales(spark, sf_dir)
+    labelled = label_sets_from(rows, _weekly_checks(rows), issues=True)
+    names = labelled.select(F.concat("error_issues", "warning_issues").alias("issues"))
+    return quality.rule_hits(names, "issues")
+
+
+# Two configurations of one catalogue, one of them with rules that hold for some rows only.
+_CONFIGURED_RULES = [
+    ("label_known", "error", '{"function": "is_in_list", "arguments": {"column": "sales_label", "allowed": ["High", "Medium", "Low"]}}', None, "nightly"),
+    ("warm_in_december", "warn", '{"function": "is_in_range", "arguments": {"column": "temperature", "max_limit": 40}}', "holiday_flag = 1", "nightly"),
+    ("fuel_of_small_stores", "error", '{"function": "is_not_null", "arguments": {"column": "fuel_price"}}', "store <= 10", "nightly"),
+    ("cpi_low", "error", '{"function": "is_in_range", "arguments": {"column": "cpi", "max_limit": 205}}', None, "weekly"),
+]
+_NIGHTLY = """COALESCE(sales_label NOT IN ('High', 'Medium', 'Low'), FALSE)
+  OR COALESCE(holiday_flag = 1 AND temperature > 40, FALSE) OR (store <= 10 AND fuel_price IS NULL)"""
+
+
+@_query(views.oracle(f"""
+SELECT "set", COUNT(*) AS n, {_total("weekly_sales")} AS sales
+FROM (SELECT *, CASE WHEN {_NIGHTLY} THEN 'Quarantine' ELSE 'Valid' END AS "set" FROM sales_v)
+GROUP BY 1""", sales_v=views.SALES))
+def sales_by_set_configured(spark, sf_dir):
+    """Rows and sales of both sets by the rules of one configuration, some of them with a filter."""
+    checks = spark.createDataFrame(_CONFIGURED_RULES, quality.CATALOGUE_SCHEMA)
+    rules = quality.read_rules(checks.filter(F.col("run_config_name") == "nightly"))
+    labelled = quality.label_sets(views.sales(spark, sf_dir), rules)
+    return labelled.groupBy("set").agg(F.count("*").alias("n"), exact_sum("weekly_sales").alias("sales"))
+
+
 @_query(_hits_sql("__errors"))
 def rule_hits_errors(spark, sf_dir):
     """How often each error rule is broken, counted from the issues the logs are made of."""
