@@ -133,10 +133,8 @@ def judge(
 
 def _measures() -> dict[str, Column]:
     words, lines = F.col("n_words"), F.col("n_lines")
-    ratios = (
-        F.col("n_symbols") / words, F.col("n_dup_lines") / lines,
-        F.col("n_repeat_words") / words, F.col("word_chars") / words,
-    )
+    parts = (("n_symbols", words), ("n_dup_lines", lines), ("n_repeat_words", words), ("word_chars", words))
+    ratios = (F.try_divide(part, whole) for part, whole in parts)  # NULL without a word
     return dict(zip(MEASURES, ratios))
 
 

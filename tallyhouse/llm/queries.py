@@ -26,6 +26,44 @@ def _query(build):
     return build
 
 
+def _op1_sql() -> str:
+    """The conversations as text in plain SQL: marks around escaped texts, learnt texts as they are."""
+    template = chat.LLAMA_LIKE
+
+    def escaped(column: str) -> str:
+        text = f"replace({column}, '\\', '\\\\')"
+        for mark in template.marks():  # no two of them overlap
+            text = f"replace({text}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+        return text
+
+    before, says, after = template.other
+    own = " ".join(
+        f"WHEN '{name}' THEN '{marks.opening}' || {escaped('said')} || '{marks.closing}'"
+        for name, marks in template.roles.items()
+    )
+    learnt = ", ".join(f"'{name}'" for name, marks in template.roles.items() if marks.loss)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS said FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, CASE role {own} ELSE '{before}' || {escaped('role')} || '{says}' || {escaped('said')} || '{after}' END AS whole,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter
+  FROM turns),
+told AS (
+  SELECT conv_id, COUNT(*) AS n_turns,
+    string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said) AS read_back,
+    COALESCE(string_agg(said, '' ORDER BY turn NULLS FIRST, role, said) FILTER (role IN ({learnt})), '') AS learnt,
+    string_agg(whole, '' ORDER BY turn NULLS FIRST, role, said) AS whole,
+    string_agg(letter, '' ORDER BY turn NULLS FIRST, role, said) AS machine
+  FROM written GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(read_back) AS turns_sha256, length(learnt) AS loss_chars,
+  sha256(learnt) AS loss_sha256, length(whole) AS formatted_chars,
+  regexp_full_match(machine, 's?(ua)+') AS valid
+FROM told"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -198,3 +236,6 @@ def op13_merkle_manifest(spark, sf_dir):
     leaf = merkle.row_digest(columns)
     checked = F.when(tampered, merkle.row_digest(columns, text=lowered)).otherwise(leaf)
     return merkle.manifest(docs, leaf, "doc_id", "source", checked).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op1_chat_format"] = _op1_sql()
