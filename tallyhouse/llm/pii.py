@@ -13,7 +13,7 @@ adds what it finds in between, such as numbers written in national ways.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +40,7 @@ _HINTS = {
     "email": {"mail", "email", "contact", "write"}, "ip": {"ip", "host", "server", "address"},
     "card": {"card", "visa", "mastercard", "amex", "credit"},
     "phone": {"phone", "tel", "call", "mobile", "fax", "cell"},
+    "other": {"iban", "isbn", "order", "tax", "invoice", "version", "date", "account", "ref", "no", "nr", "ssn"},
 }
 
 
@@ -86,8 +87,13 @@ def _byte(part: str) -> bool:
 # --- the model ---------------------------------------------------------------------
 
 
-def segment_features(span: str, before: str) -> list[str] | None:
-    """Features of a candidate segment with the text before it; None if it can be no entity."""
+def _shape(text: str) -> str:
+    """Letters as ``a``, digits as ``0``, runs of one character as a single one."""
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "0", text)))
+
+
+def segment_features(span: str, before: str, after: str = "") -> list[str] | None:
+    """Features of a candidate segment with the text around it; None if it can be no entity."""
     digits = sum(c.isdigit() for c in span)
     at = span.count("@")
     if "\n" in span or not (span[-1].isalnum()) or not (span[0].isalnum() or span[0] in "+("):
@@ -98,7 +104,7 @@ def segment_features(span: str, before: str) -> list[str] | None:
     groups = re.findall(r"[0-9]+", span)
     marks = "".join(sorted({c for c in span if not c.isalnum()}))
     out = [f"digits={min(digits, 20)}", f"groups={min(len(groups), 6)}", f"marks={marks}", f"letters={letters}"]
-    out.append("shape=" + re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "0", span)))[:16])
+    out += [f"shape={_shape(span)[:16]}", f"prev={_shape(before)[-3:]}", f"next={_shape(after)[:2]}"]
     if at:
         name, host = span.split("@")
         out.append(f"mail={bool(name) and bool(host)},{host.count('.') > 0},{' ' in span}")
@@ -107,6 +113,7 @@ def segment_features(span: str, before: str) -> list[str] | None:
         out.append(f"luhn={12 <= digits <= 19 and luhn(whole)}")
         out.append(f"octets={len(groups) == 4 and all(_byte(g) for g in groups)},{marks}")
         out.append("sizes=" + ",".join(str(len(g)) for g in groups[:6]))
+        out.append(f"first={span[0] if span[0] in '+(0' else '9'},{marks},{min(digits, 16)}")
     words = set(re.findall(r"[a-z]+", before.lower()[-NEAR:]))
     out += [f"hint={kind}" for kind, hints in _HINTS.items() if words & hints]
     return out
@@ -135,7 +142,8 @@ class SemiMarkov:
                     break
                 if _joined(atoms, i) or _joined(atoms, j + 1):
                     continue  # an end inside a run of letters and digits
-                if (features := segment_features(span, before)) is not None:
+                after = "".join(atoms[j + 1 : j + 3])
+                if (features := segment_features(span, before, after)) is not None:
                     ends[j + 1] += [(i, label, features) for label in range(1, len(KINDS) + 1)]
         return ends
 
@@ -203,22 +211,60 @@ def examples(n: int, seed: int) -> list[tuple[list[str], set[tuple[int, int, int
     def word() -> str:
         return "".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9)))
 
+    def choose(*ways: Callable[[], str]) -> str:
+        return ways[rng.integers(len(ways))]()
+
+    def numbers(*sizes: int) -> list[str]:
+        return [digits(k) for k in sizes]
+
+    def phone() -> str:
+        a, b, c = numbers(3, 3, 4)
+        area, mark = digits(int(rng.integers(1, 5))), str(rng.choice([" ", "/", "-"]))
+        return choose(
+            lambda: f"+1 ({a}) {b}-{c}", lambda: f"+{digits(2)} {a} {b} {c}", lambda: f"({a}) {b}-{c}", lambda: f"{a}-{b}-{c}",
+            lambda: f"+1{a}{b}{c}", lambda: f"{a}.{b}.{c}",
+            lambda: f"0{area}{mark}{digits(int(rng.integers(6, 9)))}", lambda: f"(0{area}) {digits(int(rng.integers(6, 9)))}",
+            lambda: f"0{area}{mark}{digits(3)} {digits(4)}", lambda: " ".join(["0" + digits(1), *numbers(2, 2, 2, 2)]),
+        )
+
+    def card(valid: bool) -> str:
+        body = digits(15)
+        number = next(body + str(c) for c in range(10) if luhn(body + str(c)) == valid)
+        return str(rng.choice(["", " ", "-"])).join(number[k : k + 4] for k in range(0, 16, 4))
+
     def entity(label: int) -> str:
         if label == 1:
             return f"{word()}{rng.choice(['', '.', '_', '-'])}{digits(rng.integers(0, 3))}@{word()}{digits(rng.integers(0, 2))}.{rng.choice(['com', 'org', 'example.net', 'io'])}"
         if label == 2:
             return ".".join(str(k) for k in rng.integers(0, 256, 4))
-        if label == 3:
-            body = digits(15)
-            number = next(body + str(c) for c in range(10) if luhn(body + str(c)))
-            mark = rng.choice(["", " ", "-"])
-            return mark.join(number[k : k + 4] for k in range(0, 16, 4))
-        a, b, c = digits(3), digits(3), digits(4)
-        return str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1{a}{b}{c}"]))
+        return card(True) if label == 3 else phone()
+
+    def octets() -> str:
+        parts = [str(k) for k in rng.integers(0, 256, 4)]
+        parts[rng.integers(4)] = str(rng.integers(256, 1000))
+        return ".".join(parts)
+
+    def letters(k: int) -> str:
+        return "".join(rng.choice(list("ABCDEFGHIKLMNOPRSTUVWXYZ"), k))
+
+    def named(names: list[str], value: str) -> str:
+        return f"{rng.choice(names)}{rng.choice([' ', ': ', ' number '])}{value}" if rng.random() < 0.6 else value
 
     def noise() -> str:
-        year = str(rng.integers(1900, 2030))
-        return str(rng.choice([year, f"{year}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}", digits(5), digits(8), f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(3)},{digits(3)}", f"@{word()}", word() + digits(3), digits(16), f"{word()}={rng.bytes(9).hex()}"]))
+        year, month, day = rng.integers(1900, 2030), rng.integers(1, 13), rng.integers(1, 29)
+        return choose(
+            lambda: f"{year}", lambda: f"{year}-{month:02}-{day:02}", lambda: f"{day:02}.{month:02}.{year}", lambda: f"{month:02}/{day:02}/{year}",
+            lambda: f"{year}-{month:02}-{day:02} {digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)}",
+            lambda: named(["order", "invoice", "ref"], choose(lambda: digits(5), lambda: digits(8), lambda: f"{digits(5)}-{digits(5)}", lambda: f"{digits(3)}-{digits(7)}")),
+            lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: named(["version"], f"{digits(1)}.{digits(2)}.{digits(4)}"),
+            lambda: f"{digits(3)},{digits(3)}", lambda: f"@{word()}", lambda: word() + digits(3), lambda: digits(16),
+            lambda: f"{word()}={rng.bytes(9).hex()}", lambda: card(False), lambda: f"card {card(False)}", octets, lambda: f"host {octets()}",
+            lambda: named(["IBAN", "account"], f"{letters(2)}{digits(2)} " + " ".join(numbers(*[4] * int(rng.integers(3, 6)), 2))),
+            lambda: named(["tax", "SSN"], "-".join(numbers(3, 2, 4))),
+            lambda: named(["ISBN"], f"{rng.choice(['978', '979'])}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"),
+            lambda: named(["ISBN"], f"{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}"),
+            lambda: f"{digits(2)} {digits(3)} {digits(3)}", lambda: f"{digits(4)}-{digits(4)}",
+        )
 
     out = []
     for _ in range(n):
@@ -241,7 +287,7 @@ def _atoms(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 500, rounds: int = 3, seed: int = 11) -> SemiMarkov:
+def trained(n: int = 900, rounds: int = 3, seed: int = 11) -> SemiMarkov:
     """The model, trained on ``n`` made examples."""
     model = SemiMarkov({}, np.zeros((len(KINDS) + 1,) * 2))
     for k in range(rounds):
